@@ -1,22 +1,26 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut into words by the tokenizer's pattern. A block of whole documents becomes one row: its distinct words, as
-arrays of byte tokens, and each document as an array of word numbers. Spark higher-order functions fold the ranked merges
-over each distinct word - the pair of lowest rank first, the leftmost of equals - looking ranks up in a literal rank map,
-and documents are put together from the folded words by array access: nothing is shuffled. Decoding looks every id up in
-a literal table of byte pieces and concatenates them.
-
-The rank map is a literal array laid out by a perfect hash of (left id, right id), so a look-up costs the same for any
-vocabulary; Spark's own map literals are searched from end to end. Words over FOLD bytes would make the fold quadratic;
-the same merges are run on them with a heap before they reach the fold.
-
-Defined cases: null and empty texts have no ids; a null doc_id stays null; a text longer than a block is a block of its
-own; an empty table gives an empty result; repeated rows are encoded each; extra columns are ignored.
+Texts are cut into words by the tokenizer's pattern, and the ranked merges are folded over the byte array of each
+distinct word: the pair of lowest rank first, the leftmost of equals, ranks looked up in a literal map. Decoding looks
+every id up in a table of byte pieces and concatenates them. There are two styles of the same method:
+
+- "arrow" (default): a map over Arrow batches; each Python worker keeps the folded words it met last (CACHED at most).
+- "functions": Spark higher-order functions. A block of whole documents becomes one row, its distinct words as arrays of
+  byte tokens and each document as an array of word numbers; aggregate() folds, and documents are put together by array
+  access. The rank map is a literal array laid out by a perfect hash of (left id, right id), for Spark's own map literals
+  are searched from end to end. Its interpreted lambdas need many times the processor time (README), so it isn't default.
+
+Neither style shuffles. Words over FOLD bytes would make the fold quadratic; they get the same merges with a heap.
+
+Defined cases: null and empty texts have no ids; a null doc_id stays null; a very long text is one row and is encoded
+whole; an empty table gives an empty result; repeated rows are encoded each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +34,11 @@ from .op8_secrets import load_ranks
 
 BLOCK_CHARS, FOLD = 12_000_000, 48
 NONE = 1 << 30
+CACHED = 300_000  # words that a worker keeps
+#: The characters of Unicode's White_Space, which the pattern's \\s stands for.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+APART = re.compile(f" [{WHITE}]|[{WHITE}] ")  # a space next to other white space
+CHUNK = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
 BITS = 19  # of the rank map's slots
 FACTORS, PRIME = (1_640_531_527, 1_013_904_223), 4_294_967_291  # keys are under 2 ** 32, so products fit in a long
 
@@ -44,8 +53,8 @@ def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(4)
-def rank_map(path: str) -> tuple[str, str]:
-    """The perfect hash: shifts of BITS - 2 bits of buckets, and slots holding key * 65536 + id (or -1); both as text."""
+def rank_map(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The perfect hash: shifts of 2 ** (BITS - 2) buckets, and slots holding key * 65536 + id (or -1)."""
     pairs = merges(load_ranks(path))
     keys = np.array([a * 65536 + b for a, b in pairs], np.int64)
     ids = np.array(list(pairs.values()), np.int64)
@@ -63,7 +72,7 @@ def rank_map(path: str) -> tuple[str, str]:
                 break
         else:
             raise ValueError("no perfect hash of this size")
-    return ",".join(map(str, shifts.tolist())), ",".join(map(str, slots.tolist()))
+    return shifts, slots
 
 
 def _let(value: Column, body) -> Column:
@@ -72,7 +81,7 @@ def _let(value: Column, body) -> Column:
 
 def encode_words(words: Column, path: str) -> Column:
     """array<array<int>> of byte tokens -> array<array<int>> of ids: the fold of ranked merges."""
-    shift_text, slot_text = rank_map(path)
+    shift_text, slot_text = (",".join(map(str, x.tolist())) for x in rank_map(path))
     tables = F.struct(F.split(F.lit(shift_text), ",").cast("array<int>").alias("shifts"), F.split(F.lit(slot_text), ",").cast("array<bigint>").alias("slots"))
 
     def with_tables(t: Column) -> Column:
@@ -187,30 +196,185 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "words array<array<int>>, docs array<struct<doc_id:bigint,codes:array<int>>>")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+class Ranks:
+    """The rank map for arrays of pairs, and the merges folded over many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int], shifts: np.ndarray, slots: np.ndarray):
+        self.ranks, self.shifts, self.slots, self.pairs = ranks, shifts, slots, None
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, NONE where there is none; ids under 0 merge with nothing."""
+        key = (a.astype(np.int64) << 16) + b
+        first, second = _hashes(np.maximum(key, 0))
+        found = self.slots[(second + self.shifts[first & ((1 << (BITS - 2)) - 1)]) & ((1 << BITS) - 1)]
+        return np.where((found >> 16 == key) & (a >= 0) & (b >= 0), found & 65535, NONE).astype(np.int32)
+
+    def fold(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of at most FOLD bytes, as little-endian bytes. Shorter words first, so few cells are idle."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 4096):
+            own = order[at : at + 4096]
+            width = len(words[own[-1]])
+            cells = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in own), np.uint8).reshape(len(own), width)
+            size = np.array([len(words[i]) for i in own])
+            ids = np.where(np.arange(width) < size[:, None], self.byte_id[cells], -1)
+            ids = np.hstack([ids, np.full((len(own), 1), -1)]).astype(np.int32)
+            rank = self.of(ids[:, :-1], ids[:, 1:])
+            at_column = np.arange(width + 1)
+            live = np.arange(len(own))
+            while len(live):
+                part, ranks = ids[live], rank[live]
+                low = ranks.argmin(axis=1)
+                row = np.arange(len(live))
+                merged = ranks[row, low]
+                going = merged < NONE
+                if not going.all():
+                    live, part, ranks, low, merged = live[going], part[going], ranks[going], low[going], merged[going]
+                    row = np.arange(len(live))
+                    if not len(live):
+                        break
+                shift = np.minimum(at_column + (at_column > low[:, None]), width)
+                part = np.take_along_axis(part, shift, axis=1)
+                part[:, -1] = -1
+                part[row, low] = merged
+                ranks = np.take_along_axis(ranks, np.minimum(shift[:, :-1], width - 1), axis=1)
+                ranks[:, -1] = NONE
+                ranks[row, low] = self.of(merged, part[row, low + 1])
+                before = low > 0
+                ranks[row[before], low[before] - 1] = self.of(part[row[before], low[before] - 1], merged[before])
+                ids[live], rank[live] = part, ranks
+            counts = (ids >= 0).sum(axis=1)
+            for i, line, n in zip(own, ids, counts.tolist(), strict=True):
+                out[i] = line[:n].tobytes()
+        return out
+
+
+class Words(dict):
+    """word -> ids as little-endian bytes."""
+
+    def __init__(self, ranks: Ranks):
+        self.ranks = ranks
+
+    def fill(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHED:
+            self.clear()
+            new = list(words)
+        short = []
+        for w in new:
+            data = w.encode()
+            if (whole := self.ranks.ranks.get(data)) is not None:
+                self[w] = whole.to_bytes(4, "little")
+            elif len(data) <= FOLD:
+                short.append((w, data))
+            else:
+                self.ranks.pairs = self.ranks.pairs or merges(self.ranks.ranks)
+                self[w] = np.array(heap_merge(self.ranks.byte_id[np.frombuffer(data, np.uint8)].tolist(), self.ranks.pairs), "<i4").tobytes()
+        self.update(zip((w for w, _ in short), self.ranks.fold([data for _, data in short]), strict=True))
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+class Encoder:
+    """Texts -> ids as little-endian 32-bit integers, a batch at a time so that its new words are folded together.
+
+    With single spaces only, words never cross what stands between two spaces, whatever stands around it; other texts
+    are cut into chunks of a kind with which that holds too.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, shifts: np.ndarray, slots: np.ndarray):
+        import regex
+
+        self.split = regex.compile(pattern).findall
+        self.words = Words(Ranks(load_ranks(ranks_path), shifts, slots))
+        self.chunks: dict[str, bytes] = {}  # a chunk with its leading space, if it has one -> ids
+
+    def cut(self, text: str) -> list[str]:
+        if text and text[0] != " " and text[-1] != " " and not APART.search(text):
+            return text.replace(" ", "\0 ").split("\0") if "\0" not in text else CHUNK.findall(text)
+        return CHUNK.findall(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(text) for text in texts]
+        need = set().union(*cut)
+        new = [c for c in need if c not in self.chunks]
+        if len(self.chunks) + len(new) > CACHED:
+            self.chunks.clear()
+            new = list(need)
+        words = [self.split(c) for c in new]
+        self.words.fill(set().union(*words))
+        get = self.words.__getitem__
+        for c, own in zip(new, words, strict=True):
+            self.chunks[c] = b"".join(map(get, own)) if len(own) > 1 else get(own[0])
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, own)) for own in cut]
+
+
+def _encode_arrow(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    shifts, slots = rank_map(ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = (ranks_path, pattern)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(ranks_path, pattern, shifts, slots)
+        encoder = _ENCODERS[key]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = encoder.encode([text.as_py() or "" for text in part.column("text")])
+                ids = _lists(np.frombuffer(b"".join(found), "<i4"), [len(x) // 4 for x in found])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, style: str = "arrow", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids array<int>), without special tokens."""
+    if style == "arrow":
+        return _encode_arrow(docs, ranks_path, pattern)
     put = lambda words: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["codes"], lambda c: F.get(words, c))).alias("ids")))
     found = blocks(docs, ranks_path, pattern, block_chars)
     return found.select(F.explode(_let(encode_words(F.col("words"), ranks_path), put)).alias("d")).select("d.doc_id", "d.ids")
 
 
-def _table(values: list[str]) -> Column:
-    return F.split(F.lit(",".join(values)), ",")
-
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, ids) -> (doc_id, n_tokens, ids_sha256, decoded binary, decoded_sha256): the ids' byte pieces, concatenated."""
 
-def decode(ids: Column, ranks_path: str) -> Column:
-    """array<int> -> binary: the ids' byte pieces, concatenated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(ranks_path)
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            pieces[i] = token
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, hashes, texts, text_hashes = [], [], [], []
+                for ids in part.column("ids"):
+                    own = ids.values.to_numpy().astype("<i4", copy=False)
+                    text = b"".join(map(pieces.__getitem__, own.tolist()))
+                    n.append(len(own))
+                    hashes.append(hashlib.sha256(own.tobytes()).hexdigest())
+                    texts.append(text)
+                    text_hashes.append(hashlib.sha256(text).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.binary()), pa.array(text_hashes, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"],
+                )
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
+
+
+def decode_column(ids: Column, ranks_path: str) -> Column:
+    """array<int> -> binary, in the style "functions"."""
     ranks = load_ranks(ranks_path)
     pieces = [""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         pieces[i] = token.hex()
-    return F.unhex(_let(_table(pieces), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
-
-
-def little_endian(ids: Column, ranks_path: str) -> Column:
-    """array<int> -> binary: each id as a little-endian unsigned 32-bit integer."""
-    n = max(load_ranks(ranks_path).values()) + 1
-    return F.unhex(_let(_table([i.to_bytes(4, "little").hex() for i in range(n)]), lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+    table = F.split(F.lit(",".join(pieces)), ",")
+    return F.unhex(_let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +383,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = encode(store.documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), path), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+    return decode(found, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
