@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -35,13 +36,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "symbol_id")
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(vector: pd.Series) -> pd.Series:
     """float32, little-endian."""
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 

@@ -46,7 +46,8 @@ class Watch:
     def __init__(self, events: DataFrame, root: str, checkpoint: str, reindex: Callable[[DataFrame, int], int], embed: Callable[[int], None] | None = None, quiet: str = "2 seconds", embed_after: int = 1, available_now: bool = False, interval: str = "1 second"):
         self.reindex, self.embed, self.embed_after = reindex, embed, embed_after
         self.pending, self.idle, self.last = False, 0, -1
-        bursts = debounce(relevant(events, root), quiet)
+        # a stream's sessions need a key: the root, which every relevant path begins with
+        bursts = debounce(relevant(events, root).withColumn("root", F.substring("path", 1, len(root))), quiet, ["root"])
         writer = bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self._batch)
         self.query: StreamingQuery = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
