@@ -146,7 +146,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns. The verdicts are carried by the rows, not joined back."""
-    return judge(docs, docs.columns).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # their columns may have the features' names
+    return judge(rows, ["__row"]).where("kept").select("__row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
