@@ -176,13 +176,17 @@ def refined(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, member long, runs array<struct<lo:int,hi:int>>")
 
 
-def hashed(members: DataFrame) -> DataFrame:
-    """The same for buckets of any size: a row for each window, and the earliest of each string by a map-side minimum."""
+def window_rows(members: DataFrame) -> DataFrame:
+    """A row for each whole window of the members: (gram, member, place, offset, x, y), x and y 64-bit hashes of its bytes."""
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "doc", "pos")
     low, high = F.lit(SIDE) - F.col("at"), F.lit(SIDE - LENGTH) - F.col("at") + F.length("around")
     rows = members.where(high >= low).select("gram", "member", place.alias("place"), "around", low.alias("low"), F.explode(F.sequence(low, high)).alias("offset"))
     string = F.substring(F.col("around"), F.col("offset") - F.col("low") + 1, F.lit(LENGTH))
-    rows = store.written(rows.select("gram", "member", "place", "offset", F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y")), "repeat-windows")
+    return store.written(rows.select("gram", "member", "place", "offset", F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y")), "repeat-windows")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """window_rows() -> what refined() gives, for buckets of any size: the earliest of each string by a map-side minimum."""
     firsts = rows.groupBy("gram", "offset", "x", "y").agg(F.min("place").alias("first"))
     again = rows.join(firsts, ["gram", "offset", "x", "y"]).where("place != first")
     return again.groupBy("gram", "member").agg(F.transform(F.sort_array(F.collect_list("offset")), lambda o: F.struct(o.cast("int").alias("lo"), o.cast("int").alias("hi"))).alias("runs"))
@@ -193,21 +197,31 @@ def removed(docs: DataFrame) -> DataFrame:
     all_anchors = store.written(anchor_rows(docs), "repeat-anchors")
     shared = all_anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     places = store.written(all_anchors.join(shared, "gram"), "repeat-places")
+    store.dropped(all_anchors)
     rows = store.written(surroundings(docs, places).withColumn("member", F.xxhash64("around", "at")), "repeat-rows")
+    store.dropped(places)
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "doc", "pos")
-    members = store.written(rows.groupBy("gram", "member").agg(F.min(F.struct(place.alias("p"), "around", "at")).alias("m"), F.count(F.lit(1)).alias("copies")).select("gram", "member", "m.p.*", "m.around", "m.at", "copies").drop("has"), "repeat-members")
-    sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(sizes, "gram")
-    some = refined(sized.where((F.col("size") > 1) & (F.col("size") <= LARGE)))
+    members = store.written(rows.groupBy("gram", "member").agg(F.min(F.struct(place.alias("p"), "around", "at")).alias("m")).select("gram", "member", "m.p.*", "m.around", "m.at").drop("has"), "repeat-members")
+    sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = store.written(members.join(sizes, "gram"), "repeat-sized")
     large = sized.where(F.col("size") > LARGE)
-    runs = store.written(some if large.isEmpty() else some.unionByName(hashed(large)), "repeat-runs")
+    runs = refined(sized.where(F.col("size") <= LARGE))
+    windows = None
+    if not large.isEmpty():
+        windows = window_rows(large)
+        runs = runs.unionByName(hashed(windows))
+    runs = store.written(runs, "repeat-runs")
+    store.dropped(sized, *([windows] if windows is not None else []))
     firsts = members.select("gram", "member", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos")).join(runs, ["gram", "member"], "left")
     start = F.col("pos") - SIDE
     whole = F.struct((F.col("pos") - F.col("at")).alias("s"), (F.col("pos") - F.col("at") + F.length("around")).alias("e"))
     first = (F.col("doc") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
     own = F.transform(F.col("runs"), lambda r: F.struct((start + r["lo"]).alias("s"), (start + r["hi"] + LENGTH).alias("e")))
-    spans = rows.where(F.length("around") >= LENGTH).join(firsts, ["gram", "member"]).select("doc", F.explode(F.when(first, own).otherwise(F.array(whole))).alias("x"))
-    return spans.groupBy("doc").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+    told = rows.where(F.length("around") >= LENGTH).select("gram", "member", "doc", "pos", whole.alias("whole"))
+    spans = told.join(firsts, ["gram", "member"]).select("doc", F.explode(F.when(first, own).otherwise(F.array("whole"))).alias("x"))
+    out = store.written(spans.groupBy("doc").agg(F.sort_array(F.collect_set("x")).alias("spans")), "repeat-spans")
+    store.dropped(rows, members, runs)
+    return out
 
 
 SPANS = "doc_id long, n_bytes long, spans array<struct<s:int,e:int>>, kept binary"

@@ -26,7 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, once nothing that is still to run reads them."""
+    for df in tables:
+        _WRITTEN.remove(df._written_at)
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> int:
