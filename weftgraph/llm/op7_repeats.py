@@ -4,8 +4,8 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier. Suffixes
 can repeat are. Each LENGTH-byte window owns an anchor, the leftmost Q-gram of the lowest hash in it, so equal windows
 own equal Q-grams at equal offsets. The Q-grams' hashes are the initial buckets; those of one member are dropped. What is
 left is refined within a bucket: identifiers of 8 bytes at every offset of a member's surroundings become identifiers of
-16, 32, 64 and LENGTH bytes, each by sorting on pairs of bucket identifiers, its own and that of a later offset, that the
-step before has made. Windows with equal last identifiers are equal strings; all but the first go.
+16, 32, 64 and LENGTH bytes, each made of two bucket identifiers that the step before has made, its own and that of a
+later offset. Sorting by the last ones brings equal windows together; all but the first go.
 
 Members with equal surroundings are one member, so a passage copied a million times is refined once. A bucket with over
 LARGE different surroundings is refined by hashing its windows in a shuffle instead. No string of the corpus is compared
@@ -48,21 +48,19 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         step = min(size, span - size)
         low = np.minimum(low[:-step], low[step:])
         size += step
-    # a place is owned if its gram is the lowest of a window and no equal one stands before it there
+    # runs of windows with one lowest hash: the leftmost place of it in the first window serves until it slides out
     windows = len(low)
-    if span > 1:
-        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [windows]]))
-    found: list[np.ndarray] = []
-    for s, count in zip(starts.tolist(), lengths.tolist(), strict=True):
-        reach = np.flatnonzero(grams[s : s + count + SIDE] == low[s])  # usually one
-        if len(reach) == 1:
-            found.append(reach + s)
-        else:  # leftmost in each window: a place is owned unless an equal one always precedes it
-            at = reach + s
-            before = np.concatenate([[s - 1], at[:-1]])
-            found.append(at[np.maximum(before + 1, s) <= np.minimum(at, s + count - 1)])
-    at = np.unique(np.concatenate(found))
+    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [windows]]))
+    views = np.lib.stride_tricks.sliding_window_view(grams, span)
+    at = np.concatenate([starts[k : k + 4096] + views[starts[k : k + 4096]].argmin(axis=1) for k in range(0, len(starts), 4096)])
+    more = [at]
+    for k in np.flatnonzero(starts + lengths - 1 > at).tolist():  # then an equal one to its right does
+        s, last = int(starts[k]), int(starts[k] + lengths[k] - 1)
+        equal = np.flatnonzero(grams[s : last + span] == low[s]) + s
+        before = np.concatenate([[s - 1], equal[:-1]])
+        more.append(equal[np.maximum(before + 1, s) <= np.minimum(equal, last)])
+    at = np.unique(np.concatenate(more))
     return grams[at], at
 
 
@@ -106,20 +104,18 @@ def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     return docs.join(own, "doc").select("doc", "doc_id", "text", "own").mapInArrow(run, "gram long, around binary, at int, doc long, doc_id long, pos int")
 
 
-def _renamed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """New identifiers of pairs of identifiers: equal pairs get equal ones."""
-    key = mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(second.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key, axis=None, kind="stable")
-    a, b = first.ravel()[order], second.ravel()[order]
-    new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-    out = np.empty(len(order), np.int64)
-    out[order] = new
-    return out.reshape(first.shape)
+def _named(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndarray:
+    """Identifiers of pairs of bucket identifiers, as 64-bit names."""
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) ^ mix(second + np.uint64(seed)))
 
 
 def refine(bucket: np.ndarray, around: list[bytes], at: np.ndarray) -> np.ndarray:
     """Rows of buckets, earliest first in each -> (row, offset): whether the window that begins at that offset of the
-    surroundings stands in an earlier row of the bucket. Windows that surroundings cut short are False."""
+    surroundings stands in an earlier row of the bucket. Windows that surroundings cut short are False.
+
+    Windows are sorted once, by their last identifiers; every window found equal to an earlier one is then compared with
+    it, eight bytes at a time, and names are drawn anew should two strings ever share one.
+    """
     m = len(around)
     cells = np.zeros((m, WIDE + 8), np.uint8)
     for i, (x, a) in enumerate(zip(around, at.tolist(), strict=True)):
@@ -127,16 +123,32 @@ def refine(bucket: np.ndarray, around: list[bytes], at: np.ndarray) -> np.ndarra
     size = np.array([len(x) for x in around])
     offsets = np.arange(SIDE + 1)
     whole = (offsets >= SIDE - at[:, None]) & (offsets + LENGTH <= SIDE - at[:, None] + size[:, None])
-    ids = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(cells, 8, axis=1)[:, :WIDE]).view(np.uint64)[..., 0]
-    length = 8
-    while 2 * length < LENGTH:
-        ids = _renamed(ids[:, :-length], ids[:, length:])[:, : WIDE - 2 * length + 1]
-        length *= 2
-    last = _renamed(ids[:, : SIDE + 1], ids[:, LENGTH - length : LENGTH - length + SIDE + 1])
-    last = _renamed(last, bucket[:, None] * (SIDE + 1) + offsets)
-    flat = np.where(whole, last, last.max() + 1 + np.arange(m)[:, None] * (SIDE + 1) + offsets).ravel()
-    _, firsts, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    return (firsts[inverse.reshape(-1)] != np.arange(len(flat))).reshape(m, SIDE + 1) & whole
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(cells, 8, axis=1)[:, :WIDE]).view(np.uint64)[..., 0]
+    row, offset = np.nonzero(whole)
+    out = np.zeros((m, SIDE + 1), bool)
+    if not len(row):
+        return out
+    for seed in range(1, 9):
+        ids, length = eight, 8
+        while 2 * length < LENGTH:
+            ids = _named(ids[:, : WIDE - 2 * length + 1], ids[:, length : WIDE - length + 1], seed)
+            length *= 2
+        last = _named(ids[:, : SIDE + 1], ids[:, LENGTH - length : LENGTH - length + SIDE + 1], seed)
+        last = _named(last, (bucket[:, None] * (SIDE + 1) + offsets).astype(np.uint64), seed)[row, offset]
+        order = np.argsort(last, kind="stable")  # so that the earliest row of equal names comes first
+        ordered = last[order]
+        heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+        again = np.flatnonzero(first != np.arange(len(order)))
+        one, two, where = row[again], row[first[again]], offset[again]
+        same = (bucket[one] == bucket[two]) & (where == offset[first[again]])
+        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            same &= eight[one, where + k] == eight[two, where + k]
+        if same.all():
+            break
+    out[one[same], where[same]] = True
+    return out
 
 
 def _runs(mask: np.ndarray) -> list[dict]:
