@@ -32,11 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that written() gave, once nothing that is still to run reads them."""
+    """Deletes tables that written() gave, once nothing that is still to run reads them.
+
+    Spark removes the shuffle files of finished steps when the driver's garbage collector has met their plans, which may
+    be much later; it is asked to look now.
+    """
     for df in tables:
         _WRITTEN.remove(df._written_at)
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def sweep(spark: SparkSession) -> int:
