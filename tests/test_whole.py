@@ -1,9 +1,13 @@
 """Queries whose oracle SQL covers less than the tables, against the whole tables."""
 
 import collections
+import math
+import random
+import struct
 
 from tests.test_oracle import DIR, db, plain, pytestmark  # noqa: F401
 from weftgraph import queries
+from weftgraph.operators import vector
 
 LIFTED = "callees callees_batch edges_without_source hierarchy refs_all refs_batch refs_kind resolve_edges resolve_stats_by_tier simple_name stats".split()
 
@@ -25,3 +29,40 @@ def test_edges_are_lifted_from_all_orders(spark, db):  # noqa: F811
         found = db.execute(whole(queries.ORACLE_SQL[name]))
         names = [x[0] for x in found.description]
         assert collections.Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()) == got, name
+
+
+def vectors(spark, folder, n=150):
+    """More vectors than one block of the links holds in this test, with copies."""
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(n)]
+    rows += [(n + i, rows[i][1], 0) for i in range(8)] + [(n + 8 + i, rows[0][1], 1) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    single = {i: [struct.unpack("f", struct.pack("f", x))[0] for x in e] for i, e, _ in rows}
+    near = {i: sorted((round(math.dist(e, f), 9), j) for j, f in single.items()) for i, e in single.items()}
+    return near, {i: label for i, _, label in rows}
+
+
+def test_walks_and_evaluation_cover_all_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 40)
+    near, labels = vectors(spark, tmp_path)
+    calls = {(i, j) for i, found in near.items() for _, j in [x for x in found if x[1] != i][:3]}
+    depth, level = {0: 0}, {0}
+    impact = {}
+    for step in range(1, 6):
+        for a, b in calls:
+            if b in level:
+                impact.setdefault((f"v{a}", f"v{b}"), step)
+        level = {a for a, b in calls if b in level} - set(depth)
+        depth |= dict.fromkeys(level, step)
+    for most in (1, 3, 5):
+        got = {(r.source_name, r.target_name): r.depth for r in queries.QUERIES[f"impact_d{most}"](spark, str(tmp_path)).collect()}
+        assert got == {e: n for e, n in impact.items() if n <= most}
+    asked, level, chain = set(), {0}, set()
+    for step in (1, 2, 3):
+        chain |= {(step, f"v{a}", f"v{b}") for a, b in calls if a in level}
+        asked |= level
+        level = {b for a, b in calls if a in level} - asked
+    assert {tuple(r) for r in queries.QUERIES["call_chain_3"](spark, str(tmp_path)).collect()} == chain
+    assert any(int(x[1:]) >= 60 for e in impact for x in e)
+    got = {r.query_id: r.precision for r in queries.QUERIES["eval_pk_rk_ndcg"](spark, str(tmp_path)).collect()}
+    assert got == {i: sum(labels[j] == labels[i] for _, j in near[i][:10]) / 10 for i in near if i % 20 == 0}

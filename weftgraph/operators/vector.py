@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
-DIM, BATCH, MAX_QUERIES = 384, 512, 4096
+DIM, BATCH, MAX_QUERIES, BLOCK = 384, 512, 4096, 1024
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "symbol_id") -> DataFrame:
@@ -36,6 +37,75 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "symbol_id")
     return out
 
 
+class _Nearest:
+    """The k nearest other vectors of a block, as it meets one block after another."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, k: int):
+        self.keys, self.vectors, self.k = keys, vectors, k
+        self.squares = np.square(vectors).sum(axis=1)
+        self.distance = np.full((len(keys), k), np.inf)
+        self.other = np.full((len(keys), k), -1)
+
+    def meet(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        """A matrix product tells which pairs may matter, with room for its error and for ties; these are measured exactly."""
+        squares = np.square(vectors).sum(axis=1)
+        rough = self.squares[:, None] + squares - 2 * (self.vectors @ vectors.T)
+        rough[self.keys[:, None] == keys] = np.inf
+        bound = np.square(self.distance[:, -1])
+        if np.isinf(bound).any():
+            at = min(self.k, len(keys)) - 1
+            bound = np.minimum(bound, np.partition(rough, at, axis=1)[:, at]) if at == self.k - 1 else bound
+        room = 1e-6 * (1 + self.squares.max() + squares.max())
+        row, col = np.nonzero((rough <= (bound + room)[:, None]) & (rough < np.inf))
+        exact = np.round(np.sqrt(np.square(self.vectors[row] - vectors[col]).sum(axis=1)), 9)
+        n = np.arange(len(self.keys))
+        row, distance, other = np.concatenate([np.repeat(n, self.k), row]), np.concatenate([self.distance.ravel(), exact]), np.concatenate([self.other.ravel(), keys[col]])
+        order = np.lexsort((other, distance, row))
+        best = order[np.searchsorted(row[order], n)[:, None] + np.arange(self.k)]
+        self.distance, self.other = distance[best], other[best]
+
+    def found(self) -> pa.RecordBatch:
+        own = np.isfinite(self.distance)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.keys, self.k)[own.ravel()]), pa.array(self.other[own]), pa.array(self.distance[own])], ["key", "other", "distance"])
+
+
+def nearest_others(vectors: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """vectors(key long, embedding) -> (key, other, rank): the k nearest other vectors of each, by L2 distance to nine digits, then key.
+
+    Vectors are dealt by the hash of their key into blocks of about BLOCK; every block meets every block. A block keeps its
+    k best over all that it meets in a task, and only these are shuffled. Nulls have no neighbours.
+    """
+    own = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias("key"), "embedding")
+    blocks = max(1, math.ceil(own.count() / BLOCK))
+    asked = own
+    for copy in (("embedding", F.pmod("key", F.lit(64))), ("embedding",)):  # no other copy of a vector can be among the k best
+        own = own.withColumn("copy", F.row_number().over(Window.partitionBy(*copy).orderBy("key"))).where(F.col("copy") <= k + 1).drop("copy")
+    packed = lambda df: df.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("key", "embedding")).alias("rows"))
+    side = lambda df, name: packed(df).select(F.col("block").alias(f"{name}_block"), F.col("rows.key").alias(f"{name}_keys"), F.col("rows.embedding").alias(f"{name}_vectors"))
+    met = side(asked, "a").crossJoin(side(own, "b")).select("a_block", "a_keys", "a_vectors", "b_keys", "b_vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch: pa.RecordBatch, name: str, row: int) -> tuple[np.ndarray, np.ndarray]:
+            keys = batch.column(f"{name}_keys")[row].values.to_numpy()
+            return keys, batch.column(f"{name}_vectors")[row].values.flatten().to_numpy().reshape(len(keys), -1).astype(np.float64)
+
+        block, state = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                now = batch.column("a_block")[row].as_py()
+                if state is None or now != block:
+                    if state is not None:
+                        yield state.found()
+                    block, state = now, _Nearest(*read(batch, "a", row), k)
+                state.meet(*read(batch, "b", row))
+        if state is not None:
+            yield state.found()
+
+    best = met.mapInArrow(run, "key long, other long, distance double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("distance", "other")))
+    return ranked.where(F.col("rank") <= k).select(F.col("key").alias(key), "other", "rank")
+
+
 @F.pandas_udf(T.BinaryType())
 def to_bytes(vector: pd.Series) -> pd.Series:
     """float32, little-endian."""
