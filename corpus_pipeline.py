@@ -33,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in length buckets and token-budget batches."""
-    return op1_packing.pack(op1_packing.word_lengths(docs))
+    """Pieces of documents in length buckets and token-budget batches; a row for documents without a token, too."""
+    return op1_packing.pack(op1_packing.token_lengths(docs), empty=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]

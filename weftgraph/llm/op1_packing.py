@@ -4,8 +4,8 @@ A dynamic program over the global histogram of lengths chooses bucket boundaries
 batches of equal row counts are formed so that rows times the padded length stays within the token budget. Texts longer
 than max_len are cut into pieces of max_len first, so the histogram has at most max_len rows, whatever the corpus.
 
-Defined cases: null and empty texts, and texts without words, have length 0 and get no piece, so they aren't packed; a
-null doc_id is packed like others; repeated rows are packed each; an empty table gives an empty result; extra columns
+Lengths are counts of tokens by the ranks of byte_bpe_50k. Defined cases: null and empty texts have length 0 and no place
+in a batch: op1_packing() gives them one row of length 0 with a null bucket, pack() none unless asked; a null doc_id is packed like others; repeated rows are packed each; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import op2_bpe, store
 
 MAX_LEN, BUCKETS, TOKEN_BUDGET = 2048, 12, 65_536
 
@@ -61,11 +61,14 @@ def pieces(docs: DataFrame, length: str, max_len: int) -> DataFrame:
     )
 
 
-def pack(lengths: DataFrame, length: str = "n_tokens", max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack(lengths: DataFrame, length: str = "n_tokens", max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, empty: bool = False) -> DataFrame:
     """lengths(doc_id, <length>) -> (doc_id, piece, start, length, bucket, padded_length, batch, row).
 
     `batch` counts from 0 in each bucket and holds token_budget // padded_length rows at most; `row` is the place in it.
+    With `empty`, documents of length 0 get a row of piece 0 without a bucket, batch and row.
     """
+    if empty:
+        lengths = store.written(lengths.select("doc_id", length), "pack-lengths")
     cut = store.written(pieces(lengths, length, max_len), "pack-pieces")
     histogram = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # max_len rows at most
     upper = boundaries(histogram, buckets)
@@ -79,9 +82,14 @@ def pack(lengths: DataFrame, length: str = "n_tokens", max_len: int = MAX_LEN, b
     named = cut.withColumns({"bucket": bucket.cast("int"), "padded_length": padded.cast("long")})
     numbered = store.gapless(named, ["bucket", "padded_length"], ["doc_id", "piece", "length"], "__at", sum(histogram.values()))
     rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("padded_length")).cast("long"))
-    return numbered.select(
+    placed = numbered.select(
         "doc_id", "piece", "start", "length", "bucket", "padded_length", F.floor(F.col("__at") / rows).cast("long").alias("batch"), F.pmod(F.col("__at"), rows).cast("long").alias("row")
     )
+    if not empty:
+        return placed
+    zero = {"piece": F.lit(0), "start": F.lit(0), "length": F.lit(0)}
+    none = lengths.where(F.col(length) == 0).select("doc_id", *(zero.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in placed.schema.fields[1:]))
+    return placed.unionByName(none)
 
 
 def word_lengths(docs: DataFrame) -> DataFrame:
@@ -89,6 +97,14 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
 
 
+def token_lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens): tokens of byte_bpe_50k."""
+    import public_tokenizers
+
+    ids = op2_bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, in pieces of at most 2048 words, packed into 12 optimal length buckets and batches of 65,536 tokens."""
-    return pack(word_lengths(store.documents(spark, sf_dir)))
+    """All documents, in pieces of at most 2048 tokens, packed into 12 optimal length buckets and batches of 65,536 tokens."""
+    return pack(token_lengths(store.documents(spark, sf_dir)), empty=True)
