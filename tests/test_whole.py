@@ -66,3 +66,16 @@ def test_walks_and_evaluation_cover_all_vectors(spark, tmp_path, monkeypatch):
     assert any(int(x[1:]) >= 60 for e in impact for x in e)
     got = {r.query_id: r.precision for r in queries.QUERIES["eval_pk_rk_ndcg"](spark, str(tmp_path)).collect()}
     assert got == {i: sum(labels[j] == labels[i] for _, j in near[i][:10]) / 10 for i in near if i % 20 == 0}
+
+
+def test_content_is_cut_by_bytes(spark, tmp_path):
+    texts = ["short", None, "", "a" * 3000, "é" * 25, "é" * 24 + " " * 90, "中" * 16 + "x", "中" * 17, "　 " * 40 + "x" * 49, "\n" * 2040 + "word " * 90, "line one\n" + "word " * 600]
+    texts += ["a" * n + c * 1200 for n in range(5) for c in ("é", "中", "🙂")]
+    texts += ["a" * n + "🙂" for n in range(2042, 2050)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        cut = (t or "").encode()[:2048].decode("utf-8", "ignore")
+        if len(cut.strip().encode()) >= 50:
+            want[i] = (cut, "h\n" + cut.split("\n")[0])
+    assert {r.doc_id: (r.content, r.compact) for r in queries.QUERIES["content_slice"](spark, str(tmp_path)).collect()} == want

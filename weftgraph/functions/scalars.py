@@ -68,6 +68,16 @@ def header(path: Column, kind: Column, name: Column) -> Column:
     return F.concat(F.lit("// File: "), path, F.lit("\n// Type: "), kind, F.lit("\n// Name: "), name)
 
 
+def content_slice(text: Column) -> Column:
+    """The first 2,048 bytes of text in whole characters; null if under 50 bytes are left without the white space at its ends."""
+    data = F.encode(text, "UTF-8")
+    end = F.lit(2045)  # a character has four bytes at most, so one begins at 2,045 to 2,048
+    for at in (2046, 2047, 2048):
+        end = F.when(~F.hex(F.substring(data, at + 1, 1)).between("80", "BF"), at).otherwise(end)
+    cut = F.when(F.octet_length(text) <= 2048, text).otherwise(F.decode(F.substr(data, F.lit(1), end), "UTF-8"))
+    return F.when(F.octet_length(F.regexp_replace(cut, r"^[\x09-\x0D\x{85}\p{Z}]+|[\x09-\x0D\x{85}\p{Z}]+\z", "")) >= 50, cut)
+
+
 def compact_text(head: Column, content: Column) -> Column:
     """The text that is embedded: the header and the content's first line."""
     return F.concat(head, F.lit("\n"), F.substring_index(content, "\n", 1))

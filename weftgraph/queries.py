@@ -473,8 +473,8 @@ def deferred_embed_fires(spark, d):
 
 @query("SELECT doc_id, substr(text, 1, 400) AS content, 'h' || chr(10) || split_part(text, chr(10), 1) AS compact FROM documents WHERE length(trim(text)) >= 50")
 def content_slice(spark, d):
-    docs = _table(spark, d, "documents").where(F.length(F.trim("text")) >= 50)
-    return docs.select("doc_id", F.substring("text", 1, 400).alias("content"), S.compact_text(F.lit("h"), F.col("text")).alias("compact"))
+    docs = _table(spark, d, "documents").select("doc_id", S.content_slice(F.col("text")).alias("content")).where("content IS NOT NULL")
+    return docs.select("doc_id", "content", S.compact_text(F.lit("h"), F.col("content")).alias("compact"))
 
 
 @query("SELECT doc_id, '> ' || array_to_string(string_split(text, chr(10))[1:3], chr(10) || '> ') AS preview FROM documents")
