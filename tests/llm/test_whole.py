@@ -2,9 +2,11 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 from tests.llm import cases
 from tests.llm.test_small_ops import query, tiktoken_encoding  # noqa: F401
-from weftgraph.llm import op1_packing
+from weftgraph.llm import op1_packing, op6_urls
 
 
 def test_packing_counts_tokens(spark, monkeypatch, tiktoken_encoding):  # noqa: F811
@@ -22,3 +24,21 @@ def test_packing_counts_tokens(spark, monkeypatch, tiktoken_encoding):  # noqa:
         if r.length:
             held[r.bucket, r.batch] += r.padded_length
     assert max(held.values()) <= op1_packing.TOKEN_BUDGET
+
+
+def test_url_statistics_cover_all_rows_and_a_hot_url_is_sampled_once(spark, monkeypatch):
+    urls = [f"http://h{i}.com/{'de' if i % 3 else 'fr'}/{i}" for i in range(90)] + [f"http://a{i}.org/x" for i in range(20)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    hot = df.orderBy(F.xxhash64("url"), "url").first().url
+    rows = [*urls, *[hot] * 80, *["http://other.net/1", "http://other.net/2"]]
+    seen, fit = [], op6_urls.fit
+    monkeypatch.setattr(op6_urls, "fit", lambda labelled: seen.extend(labelled.collect()) or fit(labelled))
+    out = op6_urls.judge(spark.createDataFrame([(u,) for u in rows], "url string"), max_labelled=40)
+    assert out.count() == len(rows)
+    blocked = {u: float("/de/" in u) for u in urls}
+    assert len(seen) == 40 and {r.y for r in seen} == {0.0, 1.0} and sorted(r.weight for r in seen) == [1] * 39 + [81]
+    want = set()
+    for end in (".com/", ".org/"):
+        own = [blocked[u] for u in rows if end in u]
+        want.add(round((sum(own) + 1) / (len(own) + 2), 6))
+    assert {round(r.f_suffix, 6) for r in seen} == want

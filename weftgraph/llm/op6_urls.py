@@ -1,8 +1,8 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features, in DataFrame operations only.
 
 A rule names a host and a path prefix; it fits its host and all subdomains, and the longest fitting rule wins. URLs that
-rules decide are the labelled ones. A bounded sample of them (max_labelled rows, lowest hashes of the URL; nothing else
-is sampled) trains the trees: every level of a tree is one aggregation of gradients by node, feature and bin, and the
+rules decide are the labelled ones. A bounded sample of them (max_labelled distinct URLs of lowest hash, weighted by their
+rows; nothing else is sampled) trains the trees: every level of a tree is one aggregation of gradients by node, feature and bin, and the
 fitted trees become one CASE expression, so that all URLs are scored in generated code.
 
 Defined cases: a null URL or one without :// has empty host and path, fits no rule and is judged by the method; without
@@ -79,12 +79,16 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def with_suffix_statistics(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """labelled(host, y) -> (__suffix, f_suffix), from all rows."""
+    return labelled.groupBy(suffix(F.col("host")).alias("__suffix")).agg(((F.sum("y") + SMOOTH) / (F.count(F.lit(1)) + 2 * SMOOTH)).alias("f_suffix"))
+
+
+def with_suffix_statistics(pages: DataFrame, stats: DataFrame) -> DataFrame:
     """f_suffix: the smoothed share of blocked URLs among labelled ones with the host's last label (0.5 where none).
 
-    The statistics have at most as many rows as the labelled sample.
+    A rule fits hosts of its own last label only, so the statistics have at most a row for each rule.
     """
-    stats = labelled.groupBy(suffix(F.col("host")).alias("__suffix")).agg(((F.sum("y") + SMOOTH) / (F.count(F.lit(1)) + 2 * SMOOTH)).alias("f_suffix"))
     joined = pages.withColumn("__suffix", suffix(F.col("host"))).join(F.broadcast(stats), "__suffix", "left")
     return joined.withColumn("f_suffix", F.coalesce(F.round("f_suffix", 6), F.lit(0.5))).drop("__suffix")
 
@@ -100,7 +104,7 @@ def _split_at(feature: str, cut: float) -> Column:
 def _grow(rows: DataFrame, cuts: dict[str, list[float]], margin: Column) -> Column:
     """One tree for the logistic loss at `margin`, as a Column of what it adds."""
     p = 1 / (1 + F.exp(-margin))
-    base = rows.withColumns({"__g": F.col("y") - p, "__h": p * (1 - p)})
+    base = rows.withColumns({"__g": F.col("weight") * (F.col("y") - p), "__h": F.col("weight") * p * (1 - p)})
     bins = F.array(*(F.struct(F.lit(f).alias("feature"), sum((F.col(f) > c).cast("int") for c in cuts[f]).alias("bin")) for f in cuts))
     tree: dict[int, tuple[str, float]] = {}  # node -> split; children 2n and 2n + 1
     values: dict[int, float] = {}
@@ -146,13 +150,16 @@ def _routed(tree: dict[int, tuple[str, float]], n: int, leaf) -> Column:
 
 
 def fit(labelled: DataFrame) -> Column:
-    """labelled(FEATURES, y: 1.0 for block), a small written table -> the log odds of block, as a Column over FEATURES."""
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    """labelled(FEATURES, y: 1.0 for block, weight: 1 if absent), a small written table -> the log odds of block, as a
+    Column over FEATURES."""
+    if "weight" not in labelled.columns:
+        labelled = labelled.withColumn("weight", F.lit(1).cast("long"))
+    n, blocked = labelled.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.col("y") * F.col("weight")), F.lit(0.0))).first()
     margin = F.lit(math.log((blocked + SMOOTH) / (n - blocked + SMOOTH)))
     if not 0 < blocked < n:
         return margin
     grid = [k / BINS for k in range(1, BINS)]
-    found = labelled.agg(*(F.percentile(f, grid).alias(f) for f in FEATURES)).first()
+    found = labelled.agg(*(F.percentile(f, grid, F.col("weight")).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted({round(float(c), 9) for c in found[f]}) for f in FEATURES}
     for _ in range(TREES):
         margin = margin + _grow(labelled, cuts, margin)
@@ -166,10 +173,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_labe
     named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocks = [rule for rule, verdict in rules if verdict == "block"]
     decided = named.where(F.col("rule").isNotNull()).select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("y"))
-    sample = store.written(decided.orderBy(F.xxhash64("url"), "url").limit(max_labelled), "url-sample")
-    labelled = store.written(with_suffix_statistics(lexical(sample), sample).select(*FEATURES, "y"), "url-labelled")
+    stats = store.written(suffix_statistics(decided), "url-suffixes")
+    distinct = decided.groupBy("url", "host", "path", "y").agg(F.count(F.lit(1)).alias("weight"))
+    sample = store.written(distinct.orderBy(F.xxhash64("url"), "url").limit(max_labelled), "url-sample")
+    labelled = store.written(with_suffix_statistics(lexical(sample), stats).select(*FEATURES, "y", "weight"), "url-labelled")
     score = fit(labelled)
-    scored = with_suffix_statistics(lexical(named), sample).withColumn("score", F.round(score, 6)).drop(*FEATURES)
+    scored = with_suffix_statistics(lexical(named), stats).withColumn("score", F.round(score, 6)).drop(*FEATURES)
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(blocks), "block").otherwise("allow")).otherwise(F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict)
 
