@@ -1,12 +1,13 @@
 """What operators once left out, against plain Python."""
 
 import collections
+import random
 
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tests.llm.test_small_ops import query, tiktoken_encoding  # noqa: F401
-from weftgraph.llm import op1_packing, op6_urls
+from tests.llm.test_small_ops import BPE, query, tiktoken_encoding  # noqa: F401
+from weftgraph.llm import op1_packing, op6_urls, op8_secrets
 
 
 def test_packing_counts_tokens(spark, monkeypatch, tiktoken_encoding):  # noqa: F811
@@ -42,3 +43,15 @@ def test_url_statistics_cover_all_rows_and_a_hot_url_is_sampled_once(spark, monk
         own = [blocked[u] for u in rows if end in u]
         want.add(round((sum(own) + 1) / (len(own) + 2), 6))
     assert {round(r.f_suffix, 6) for r in seen} == want
+
+
+def test_secrets_of_one_class_and_short_ones(spark):
+    rng = random.Random(6)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [make(x, n) for x in (low, low.upper()) for n in (24, 32, 40) for _ in range(20)] + [make(mixed, 16) for _ in range(20)]
+    plain = ["internationalization", "INTERNATIONALIZATION", "this-is-a-long-identifier-name", "some_function_name", "=" * 40, "1234567890123456", "2024-01-15-12-30-45", "getUserNameFromSession", "d41d8cd98f00b204e9800998ecf8427e"]
+    docs = cases.frame(spark, [(i, f"see {x} here") for i, x in enumerate([*keys, *plain])])
+    found = {r.doc_id: "random:4:" in r.spans for r in op8_secrets.scan(docs, BPE).collect()}
+    assert sum(found[i] for i in range(len(keys))) >= 0.9 * len(keys)
+    assert not any(found[len(keys) + i] for i in range(len(plain)))

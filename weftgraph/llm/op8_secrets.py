@@ -1,8 +1,9 @@
 """Secret scan: three base patterns, and a token-efficiency test for random strings.
 
 A string that a tokenizer's vocabulary covers badly, with few characters for each token, is probably random. Candidates
-are runs of key characters with at least two of lower case, upper case and digits; known digests (hex of 32, 40, 56, 64,
-96 or 128 digits) and identifiers (UUIDs, numbers, words joined by - _ / . or camel case) are excluded first.
+are runs of key characters; known digests (hex of 32, 40, 56, 64, 96 or 128 digits) and identifiers (UUIDs, numbers, words
+in camel case or joined with numbers) are excluded first. Runs with one or none of lower case, upper case and digits, which
+may be plain words, and runs under LONG characters have to stay under a stricter ratio.
 
 Defined cases: a null text counts as empty and has no span; a null doc_id stays null; an empty table gives an empty
 result; repeated rows are scanned each; extra columns are ignored.
@@ -32,12 +33,13 @@ ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret",
 NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # maximal runs, so the same as [0-9a-f]+ with shorter ones dropped
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 IDENTIFIER = re.compile(r"(?>[-_/=+]*+(?>[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++(?![A-Za-z])))++[-_/=+]*+")  # possessive: no backtracking
 MAX_CHARS_PER_TOKEN = 2.2
+STRICT, LONG = 1.9 / 2.2, 20  # the stricter ratio, as a share of the other
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,10 +59,14 @@ def _encoding(path: str):
     return _ENCODINGS[path]
 
 
-def _excluded(s: str) -> bool:
-    if DIGEST.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
-        return True
-    return any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) < 2
+def _share(s: str) -> float:
+    """Of the ratio, what holds for s; 0 for known digests and identifiers."""
+    digit, lower, upper = any(c.isdigit() for c in s), any(c.islower() for c in s), any(c.isupper() for c in s)
+    if DIGEST.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s):
+        return 0
+    if (digit or lower and upper) and IDENTIFIER.fullmatch(s):
+        return 0
+    return STRICT if digit + lower + upper < 2 or len(s) < LONG else 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,7 +85,7 @@ def random_spans(text: str, encoding, max_ratio: float) -> list[tuple[int, int,
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if not _excluded(s) and len(s) <= max_ratio * len(encoding.encode_ordinary(s)):
+        if (share := _share(s)) and len(s) <= share * max_ratio * len(encoding.encode_ordinary(s)):
             found.append((m.start(), 3, m.end()))
     return found
 
