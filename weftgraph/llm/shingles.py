@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -14,6 +18,22 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and about `most` bytes of `column`; a larger value is alone in its slice."""
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        own = pc.multiply(pc.list_value_length(values), 16)
+    else:
+        own = pc.binary_length(values)
+    ends = np.cumsum(pc.fill_null(own, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
