@@ -53,12 +53,19 @@ def test_boundaries_are_optimal():
     assert op1_packing.boundaries({}, 3) == []
 
 
-def test_packing(spark):
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=op8_secrets.load_ranks(BPE), special_tokens={})
+
+
+def test_packing(spark, tiktoken_encoding):
     df = cases.frame(spark)
-    got = op1_packing.pack(op1_packing.word_lengths(df), max_len=500, buckets=4, token_budget=2000).collect()
+    got = op1_packing.pack(op1_packing.token_lengths(df), max_len=500, buckets=4, token_budget=2000).collect()
     need = collections.Counter()
     for i, t in cases.rows():
-        n = len(WORD.findall(t or ""))
+        n = len(tiktoken_encoding.encode_ordinary(t or ""))
         for at in range(0, n, 500):
             need[i, at, min(500, n - at)] += 1
     assert collections.Counter((r.doc_id, r.start, r.length) for r in got) == need
@@ -69,14 +76,14 @@ def test_packing(spark):
     for (_, padded), places in by.items():
         size = max(1, 2000 // padded)
         assert sorted(places) == [(k // size, k % size) for k in range(len(places))]
-    assert op1_packing.pack(op1_packing.word_lengths(cases.empty(spark))).count() == 0
-
+    assert op1_packing.pack(op1_packing.token_lengths(cases.empty(spark))).count() == 0
 
-@pytest.fixture(scope="module")
-def tiktoken_encoding():
-    import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=op8_secrets.load_ranks(BPE), special_tokens={})
+def test_counts_equal_the_ids(spark):
+    data = [*cases.rows(), (900, " " * 200_000), (901, "\n \t" * 5000 + "x"), (902, "a" * 100_000)]
+    df = cases.frame(spark, data)
+    ids = {r.doc_id: len(r.ids) for r in op2_bpe.encode(df, BPE, PT.PATTERN).collect() if r.doc_id is not None}
+    assert {r.doc_id: r.n_tokens for r in op2_bpe.counted(df, BPE, PT.PATTERN).collect() if r.doc_id is not None} == ids
 
 
 def test_bpe_equals_the_library(tiktoken_encoding):

@@ -92,17 +92,11 @@ def pack(lengths: DataFrame, length: str = "n_tokens", max_len: int = MAX_LEN, b
     return placed.unionByName(none)
 
 
-def word_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): tokens are words, runs of other characters than space and \\t to \\r."""
-    return docs.select("doc_id", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
-
-
 def token_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens): tokens of byte_bpe_50k."""
     import public_tokenizers
 
-    ids = op2_bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+    return op2_bpe.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 
 from . import store
 from .op8_secrets import load_ranks
+from .shingles import by_bytes
 
 BLOCK_CHARS, FOLD = 12_000_000, 48
 NONE = 1 << 30
 CACHED = 300_000  # words that a worker keeps
 #: The characters of Unicode's White_Space, which the pattern's \\s stands for.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-APART = re.compile(f" [{WHITE}]|[{WHITE}] ")  # a space next to other white space
+APART = re.compile(f"[ \n][{WHITE}]|[{WHITE}][ \n]")  # a space or line end next to other white space
 CHUNK = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
+LONG_RUN = re.compile(r"\s{1000}")
 BITS = 19  # of the rank map's slots
 FACTORS, PRIME = (1_640_531_527, 1_013_904_223), 4_294_967_291  # keys are under 2 ** 32, so products fit in a long
 
@@ -281,8 +283,8 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 class Encoder:
     """Texts -> ids as little-endian 32-bit integers, a batch at a time so that its new words are folded together.
 
-    With single spaces only, words never cross what stands between two spaces, whatever stands around it; other texts
-    are cut into chunks of a kind with which that holds too.
+    With single spaces and line ends only, words never cross what stands between two of them, whatever stands around it;
+    other texts are cut into chunks of a kind with which that holds too.
     """
 
     def __init__(self, ranks_path: str, pattern: str, shifts: np.ndarray, slots: np.ndarray):
@@ -291,46 +293,81 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.words = Words(Ranks(load_ranks(ranks_path), shifts, slots))
         self.chunks: dict[str, bytes] = {}  # a chunk with its leading space, if it has one -> ids
+        self.sizes: dict[str, int] = {}  # and how many
 
     def cut(self, text: str) -> list[str]:
-        if text and text[0] != " " and text[-1] != " " and not APART.search(text):
-            return text.replace(" ", "\0 ").split("\0") if "\0" not in text else CHUNK.findall(text)
+        if text and text[0] not in " \n" and text[-1] not in " \n" and "\0" not in text and not APART.search(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return CHUNK.findall(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def filled(self, texts: list[str]) -> list[list[str]]:
+        """The texts' chunks, all of them known from now on."""
         cut = [self.cut(text) for text in texts]
         need = set().union(*cut)
         new = [c for c in need if c not in self.chunks]
         if len(self.chunks) + len(new) > CACHED:
             self.chunks.clear()
+            self.sizes.clear()
             new = list(need)
         words = [self.split(c) for c in new]
         self.words.fill(set().union(*words))
         get = self.words.__getitem__
         for c, own in zip(new, words, strict=True):
-            self.chunks[c] = b"".join(map(get, own)) if len(own) > 1 else get(own[0])
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+            self.chunks[c] = ids = b"".join(map(get, own)) if len(own) > 1 else get(own[0])
+            self.sizes[c] = len(ids) // 4
+        return cut
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = self.filled(texts)
+        return [b"".join(map(self.chunks.__getitem__, own)) for own in cut]
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = self.filled(texts)
+        return [sum(map(self.sizes.__getitem__, own)) for own in cut]
+
+
+def _encoder(ranks_path: str, pattern: str, shifts: np.ndarray, slots: np.ndarray) -> Encoder:
+    key = (ranks_path, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(ranks_path, pattern, shifts, slots)
+    return _ENCODERS[key]
 
 
 def _encode_arrow(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shifts, slots = rank_map(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (ranks_path, pattern)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(ranks_path, pattern, shifts, slots)
-        encoder = _ENCODERS[key]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = encoder.encode([text.as_py() or "" for text in part.column("text")])
-                ids = _lists(np.frombuffer(b"".join(found), "<i4"), [len(x) // 4 for x in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        encoder = _encoder(ranks_path, pattern, shifts, slots)
+        for part in (p for batch in batches for p in by_bytes(batch, "text", 512)):
+            found = encoder.encode([text.as_py() or "" for text in part.column("text")])
+            ids = _lists(np.frombuffer(b"".join(found), "<i4"), [len(x) // 4 for x in found])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def counted(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_tokens): the numbers of ids that encode() gives, without the ids.
+
+    The tokenizer library counts, for it needs less processor time than encode(); its pattern matcher runs out of stack on
+    very long runs of white space, so texts with LONG_RUN of it are encoded by encode()'s own encoder.
+    """
+    shifts, slots = rank_map(ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        for part in (p for batch in batches for p in by_bytes(batch, "text", 512)):
+            n = []
+            for text in part.column("text"):
+                text = text.as_py() or ""
+                n.append(_encoder(ranks_path, pattern, shifts, slots).count([text])[0] if LONG_RUN.search(text) else len(library.encode_ordinary(text)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, style: str = "arrow", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids array<int>), without special tokens."""
     if style == "arrow":
