@@ -12,19 +12,32 @@ from pyspark.sql import functions as F
 _WRITTEN: list[str] = []
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder serves local sessions only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/checkpoints"
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors.
+
+    Shuffle files of the write go as soon as it is done, so a chain of steps never holds those of more than one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
