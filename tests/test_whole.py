@@ -1,36 +1,12 @@
-"""Queries whose oracle SQL covers less than the tables, against the whole tables."""
+"""Walks, evaluation and content over whole tables, against plain Python."""
 
-import collections
 import math
 import random
 import struct
 
-from tests.test_oracle import DIR, db, plain, pytestmark  # noqa: F401
 from weftgraph import queries
 from weftgraph.operators import vector
 
-LIFTED = "callees callees_batch edges_without_source hierarchy refs_all refs_batch refs_kind resolve_edges resolve_stats_by_tier simple_name stats".split()
-
-
-def whole(sql):
-    """The SQL without its modulo filters on orders."""
-    for cut in ("\nWHERE l_orderkey % 20 = 0", " WHERE l_orderkey % 20 = 0", "\nWHERE o_orderkey % 20 = 0"):
-        assert cut in sql
-        sql = sql.replace(cut, "")
-    assert "% 20" not in sql
-    return sql
-
-
-def test_edges_are_lifted_from_all_orders(spark, db):  # noqa: F811
-    for name in LIFTED:
-        df = queries.QUERIES[name](spark, DIR)
-        columns = sorted(df.columns)
-        got = collections.Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
-        found = db.execute(whole(queries.ORACLE_SQL[name]))
-        names = [x[0] for x in found.description]
-        assert collections.Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()) == got, name
-
-
 def vectors(spark, folder, n=150):
     """More vectors than one block of the links holds in this test, with copies."""
     rng = random.Random(4)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import SYMBOL_KINDS, parse
 
-MAX_RESULTS, MAX_DEPTH = 100, 10
+MAX_RESULTS, MAX_DEPTH, MAX_QUERIES = 100, 10, 4096
 
 
 def _names(df: DataFrame, names: list[str]) -> DataFrame:
@@ -20,8 +21,9 @@ def _names(df: DataFrame, names: list[str]) -> DataFrame:
 def search_batch(symbols: DataFrame, queries: DataFrame, limit: int = MAX_RESULTS, kind: str | None = None, file: str | None = None) -> DataFrame:
     """queries(query) -> (query, rank, symbol...): at most `limit` symbols for each, best first.
 
-    Definitions come before variables and imports, and equal names before prefixes before other matches. The few queries
-    are joined on containment, which has no key to join on; symbols stay where they are.
+    Definitions come before variables and imports, and equal names before prefixes before other matches. Containment has
+    no key to join on: queries meet all symbols in blocks of at most MAX_QUERIES, which bounds what is broadcast; symbols
+    stay where they are, and each task keeps its own best of a query before the shuffle.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -29,9 +31,13 @@ def search_batch(symbols: DataFrame, queries: DataFrame, limit: int = MAX_RESULT
         symbols = symbols.where(F.col("kind") == parse(kind, SYMBOL_KINDS))
     if file is not None:
         symbols = symbols.where(F.col("file_path") == file)
-    from pyspark.sql import Window
-
-    met = symbols.join(queries, F.contains(F.lower(F.col("name")), F.lower(F.col("query"))))
+    queries = queries.select("query").distinct()
+    blocks = max(1, math.ceil(queries.count() / MAX_QUERIES))
+    met = None
+    for block in range(blocks):
+        own = F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block))
+        found = symbols.join(own, F.contains(F.lower(F.col("name")), F.lower(F.col("query"))))
+        met = found if met is None else met.unionByName(found)
     score = S.match_tier(F.col("name"), F.col("query")) + S.kind_penalty(F.col("kind"))
     order = Window.partitionBy("query").orderBy("score", S.kind_order(F.col("kind")), "file_path", "start_line", "id")
     ranked = met.withColumn("score", score).withColumn("rank", F.row_number().over(order))
@@ -57,6 +63,12 @@ def outline(symbols: DataFrame, file: str) -> DataFrame:
     return symbols.where(F.col("file_path") == file).orderBy("start_line", "start_byte", "id")
 
 
+def outline_batch(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """files(file_path) -> their symbols with `place`, the order within the file."""
+    found = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "start_byte", "id")))
+
+
 def outline_lines(symbols: DataFrame, file: str) -> DataFrame:
     """(start_line, line): the outline as text."""
     indent = F.when(F.col("parent_id").isNotNull(), "  ").otherwise("")
@@ -77,10 +89,10 @@ def refs_batch(edges: DataFrame, symbols: DataFrame, names: DataFrame, kind: str
     names = names.select("name").distinct()
     target = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("target_symbol"))
     source = symbols.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("kind").alias("source_kind"), F.col("file_path").alias("source_file"))
-    wide = edges.join(target, "target_id", "left")
-    by_text = wide.join(names.withColumnRenamed("name", "target_name"), "target_name", "left_semi").withColumn("name", F.col("target_name"))
-    by_symbol = wide.where("NOT (target_symbol <=> target_name)").join(names.withColumnRenamed("name", "target_symbol"), "target_symbol", "left_semi").withColumn("name", F.col("target_symbol"))
-    return by_text.unionByName(by_symbol).join(source, "source_id", "left")
+    by_text = edges.join(names.withColumnRenamed("name", "target_name"), "target_name", "left_semi").join(target, "target_id", "left").withColumn("name", F.col("target_name"))
+    meant = target.join(names.withColumnRenamed("name", "target_symbol"), "target_symbol", "left_semi")
+    by_symbol = edges.where("target_id IS NOT NULL").join(meant, "target_id").where("target_symbol != target_name").withColumn("name", F.col("target_symbol"))
+    return by_text.unionByName(by_symbol.select(*by_text.columns)).join(source, "source_id", "left")
 
 
 def refs(edges: DataFrame, symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
@@ -109,11 +121,23 @@ def call_chain(edges: DataFrame, symbols: DataFrame, names: list[str], depth: in
     return out
 
 
-def hierarchy(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """(child, parent) of one hop in either direction; the parent is the text of the reference."""
+def hierarchy_batch(edges: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """names(name) -> (name, child, parent) of one hop in either direction; the parent is the text of the reference."""
+    names = names.select("name").distinct()
     source = symbols.select(F.col("id").alias("source_id"), F.col("name").alias("child"))
-    found = edges.where("kind = 'inherits'").join(source, "source_id")
-    return found.where((F.col("child") == name) | (F.col("target_name") == name)).select("child", F.col("target_name").alias("parent"))
+    found = edges.where("kind = 'inherits'").join(source, "source_id").select("child", F.col("target_name").alias("parent"))
+    up = found.join(names.withColumn("child", F.col("name")), "child")
+    down = found.where("NOT (child <=> parent)").join(names.withColumn("parent", F.col("name")), "parent")
+    return up.select("name", "child", "parent").unionByName(down.select("name", "child", "parent"))
+
+
+def hierarchy(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    return hierarchy_batch(edges, symbols, _names(edges, [name])).select("child", "parent")
+
+
+def file_deps_batch(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """files(file_path) -> the import edges of these files."""
+    return edges.where(F.col("kind") == "imports").join(files.select("file_path").distinct(), "file_path", "left_semi")
 
 
 def file_deps(edges: DataFrame, file: str) -> DataFrame:
@@ -149,10 +173,13 @@ def impact(edges: DataFrame, symbols: DataFrame, names: list[str], depth: int =
 
 
 def stats(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Long form (metric, key, value)."""
-    one = lambda df, name, cond=None: df.agg((F.count(F.lit(1)) if cond is None else F.count_if(cond)).alias("value")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "value")
-    by = lambda df, name, c: df.groupBy(F.coalesce(c, F.lit("")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "key", "value")
-    out = one(files, "files")
-    for df in (one(symbols, "symbols"), one(edges, "edges"), one(edges, "edges_resolved", F.col("target_id").isNotNull()), by(files, "language", "language"), by(symbols, "symbol_kind", "kind")):
-        out = out.unionByName(df)
-    return out
+    """Long form (metric, key, value): each table is read once and leaves a row for each kind or language."""
+
+    def told(df: DataFrame, total: str, each: str, column: str) -> DataFrame:
+        counts = df.groupBy(F.coalesce(column, F.lit("")).alias("key")).agg(F.count(F.lit(1)).alias("value"))
+        both = counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.collect_list(F.struct(F.lit(each).alias("metric"), "key", "value")).alias("own"))  # closed vocabularies
+        return both.select(F.inline(F.concat(F.array(F.struct(F.lit(total).alias("metric"), F.lit("").alias("key"), F.col("n").alias("value"))), "own")))
+
+    n = edges.agg(F.count(F.lit(1)).alias("all"), F.count("target_id").alias("linked"))
+    of_edges = n.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit("").alias("key"), F.col(c).alias("value")) for m, c in (("edges", "all"), ("edges_resolved", "linked"))))))
+    return told(files, "files", "language", "language").unionByName(told(symbols, "symbols", "symbol_kind", "kind")).unionByName(of_edges)

@@ -1,13 +1,17 @@
-"""Full-text search: postings with places, phrases, and BM25 with a cascade from phrase to all terms to any term."""
+"""Full-text search: a stored index of postings with places, phrases, and BM25 with a cascade from phrase to all terms to
+any term."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+BUCKETS, MAX_TERMS = 32, 2_000
 PHRASE, AND, OR = 0, 1, 2
 
 
@@ -41,6 +45,47 @@ def phrases(queries: DataFrame) -> DataFrame:
     return counted.select("query_id", "tier", "phrase", F.posexplode("t").alias("off", "term"), F.size("t").alias("terms"), "phrases")
 
 
+@dataclass
+class Index:
+    """postings(bucket, term, key, col, pos), lengths(key, len) and corpus(n_docs, avgdl), one row."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, columns: list[str], path: str, key: str = "symbol_id") -> Index:
+        """Writes the index to path. Texts are tokenised once. Postings lie in folders by a hash of the term and are in order
+        of terms within files, so a search reads the files that may hold its terms; a term of a third of all documents
+        is split over files by document."""
+        tokens = docs.select(key, F.array(*(S.tokens(F.col(c)) for c in columns)).alias("cols"))
+        tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+        tokens = docs.sparkSession.read.parquet(f"{path}/tokens")
+        each = tokens.select(key, F.posexplode("cols").alias("col", "own")).select(key, "col", F.posexplode("own").alias("pos", "term"))
+        dealt = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        dealt = dealt.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+        dealt.select("bucket", "term", key, "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        size = sum((F.size(F.get("cols", F.lit(i))) for i in range(1, len(columns))), F.size(F.get("cols", F.lit(0))))
+        tokens.select(key, size.cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
+        lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
+        return Index.open(docs.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "corpus")))
+
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        """Postings of asked(term). Up to MAX_TERMS terms are put into the plan, where they prune folders and row groups."""
+        terms = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        head = terms.limit(MAX_TERMS + 1).collect()
+        if len(head) > MAX_TERMS:
+            return self.postings
+        if not head:
+            return self.postings.limit(0)
+        return self.postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in head})) & F.col("term").isin(sorted(r["term"] for r in head)))
+
+
 def phrase_hits(index: DataFrame, asked: DataFrame, key: str = "symbol_id") -> DataFrame:
     """(query_id, tier, phrase, phrases, key, f): how often a document has each phrase, within one column.
 
@@ -51,9 +96,10 @@ def phrase_hits(index: DataFrame, asked: DataFrame, key: str = "symbol_id") -> D
     return whole.groupBy("query_id", "tier", "phrase", "phrases", key).agg(F.count(F.lit(1)).alias("f"))
 
 
-def bm25(hits: DataFrame, docs_len: DataFrame, key: str = "symbol_id") -> DataFrame:
+def bm25(hits: DataFrame, docs_len: DataFrame, key: str = "symbol_id", corpus: DataFrame | None = None) -> DataFrame:
     """(query_id, tier, key, score): lower is better. A tier 1 row has all phrases."""
-    corpus = docs_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
+    if corpus is None:
+        corpus = docs_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
     df = hits.groupBy("query_id", "tier", "phrase").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
@@ -63,11 +109,20 @@ def bm25(hits: DataFrame, docs_len: DataFrame, key: str = "symbol_id") -> DataFr
     return scored.where((F.col("tier") != AND) | (F.col("has") == F.col("phrases"))).select("query_id", "tier", key, "score")
 
 
-def search(docs: DataFrame, queries: DataFrame, columns: list[str], limit: int, key: str = "symbol_id", index: DataFrame | None = None) -> DataFrame:
-    """queries(query_id, text) -> (query_id, key, tier, score, rank): the lowest tier that has any hit, best first."""
-    index = postings(docs, columns, key) if index is None else index
-    scored = bm25(phrase_hits(index, phrases(queries), key), lengths(docs, columns, key), key)
-    lowest = Window.partitionBy("query_id")
-    chosen = scored.withColumn("low", F.min("tier").over(lowest)).where("tier = low").drop("low")
+def scored(queries: DataFrame, index: Index, key: str = "symbol_id") -> DataFrame:
+    """queries(query_id, text) -> (query_id, tier, key, score) of every tier, from a stored index."""
+    asked = phrases(queries)
+    return bm25(phrase_hits(index.of_terms(asked), asked, key), index.lengths, key, index.corpus)
+
+
+def search(docs: DataFrame, queries: DataFrame, columns: list[str], limit: int, key: str = "symbol_id", index: Index | None = None) -> DataFrame:
+    """queries(query_id, text) -> (query_id, key, tier, score, rank): the lowest tier that has any hit, best first. Without
+    an index, texts are tokenised for this search alone."""
+    if index is None:
+        found = bm25(phrase_hits(postings(docs, columns, key), phrases(queries), key), lengths(docs, columns, key), key)
+    else:
+        found = scored(queries, index, key)
+    lowest = found.groupBy("query_id").agg(F.min("tier").alias("tier"))
+    chosen = found.join(lowest, ["query_id", "tier"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), key))
     return chosen.withColumn("rank", rank).where(F.col("rank") <= limit)

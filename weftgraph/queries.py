@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -87,12 +88,9 @@ def callees_batch(spark, d):
     return graph.callees_batch(_edges(spark, d), symbols, symbols.where("kind = 'method'").select("name")).select("name", "source_id", "target_name", "file_path", "line")
 
 
-CHAIN = "link AS (SELECT source_id, target_name AS name, target_name AS target FROM edges)"
-
-
 @query(
-    """WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 60), pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-hop AS (SELECT src, dst FROM pairs WHERE r <= 3), one AS (SELECT DISTINCT 1 AS step, src, dst FROM hop WHERE src = 0),
+    """WITH v AS (SELECT vec_id, embedding FROM embeddings), pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+hop AS MATERIALIZED (SELECT src, dst FROM pairs WHERE r <= 3), one AS (SELECT DISTINCT 1 AS step, src, dst FROM hop WHERE src = 0),
 two AS (SELECT DISTINCT 2 AS step, h.src, h.dst FROM hop h JOIN one o ON h.src = o.dst WHERE h.src <> 0),
 three AS (SELECT DISTINCT 3 AS step, h.src, h.dst FROM hop h JOIN two t ON h.src = t.dst WHERE h.src <> 0 AND h.src NOT IN (SELECT dst FROM one))
 SELECT step, 'v' || CAST(src AS STRING) AS caller, 'v' || CAST(dst AS STRING) AS callee FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)"""
@@ -118,8 +116,8 @@ def _knn_graph(spark, d):
     return symbols, edges.withColumn("edge_id", F.xxhash64("source_id", "target_name"))
 
 
-IMPACT = """WITH RECURSIVE v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 60), pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-hop AS (SELECT src, dst FROM pairs WHERE r <= 3),
+IMPACT = """WITH RECURSIVE v AS (SELECT vec_id, embedding FROM embeddings), pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+hop AS MATERIALIZED (SELECT src, dst FROM pairs WHERE r <= 3),
 reach AS (SELECT CAST(0 AS BIGINT) AS name, 0 AS depth UNION SELECT h.src, r.depth + 1 FROM reach r JOIN hop h ON h.dst = r.name WHERE r.depth < {0})
 SELECT 'v' || CAST(h.src AS STRING) AS source_name, 'v' || CAST(h.dst AS STRING) AS target_name, MIN(r.depth + 1) AS depth FROM reach r JOIN hop h ON h.dst = r.name WHERE r.depth < {0} GROUP BY h.src, h.dst"""
 
@@ -141,9 +139,6 @@ def hierarchy(spark, d):
     return graph.hierarchy(_edges(spark, d), lift.symbols(spark, d), "ASIA")
 
 
-PAGE_EDGES = """SELECT {page} AS file_path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target_name FROM pages"""
-
-
 @query("SELECT url AS file_path, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target_name FROM pages")
 def page_deps(spark, d):
     return _table(spark, d, "pages").select(F.col("url").alias("file_path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target_name"))
@@ -338,9 +333,20 @@ scored AS (SELECT h.query_id, h.tier, h.doc_id, SUM(-(CASE WHEN ln((n_docs - n +
 {body}"""
 
 
+_INDEXES: dict[tuple[str, str], text.Index] = {}
+
+
+def _index(spark, d):
+    """The stored full-text index of the documents: built by the first search of a session, read by all."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _INDEXES:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        _INDEXES[name] = text.Index.build(_table(spark, d, "documents").select("doc_id", "text"), ["text"], f"{shared.rstrip('/')}/weftgraph/fulltext-{uuid.uuid4().hex}", "doc_id")
+    return _INDEXES[name]
+
+
 def _scored(spark, d):
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    return text.bm25(text.phrase_hits(text.postings(docs, ["text"], "doc_id"), text.phrases(_asked(spark)), "doc_id"), text.lengths(docs, ["text"], "doc_id"), "doc_id")
+    return text.scored(_asked(spark), _index(spark, d), "doc_id")
 
 
 def _fts(name, tier):
@@ -356,7 +362,7 @@ _fts("fts_or", 2)
 @query(_fts_sql("SELECT query_id, doc_id, CAST(tier AS INT) AS tier, CAST(r AS INT) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS r FROM (SELECT *, MIN(tier) OVER (PARTITION BY query_id) AS low FROM scored) x WHERE tier = low) y WHERE r <= 10"))
 def fts_cascade(spark, d):
     """BM25's ten best of the lowest tier with hits."""
-    return text.search(_table(spark, d, "documents").select("doc_id", "text"), _asked(spark), ["text"], 10, "doc_id").select("query_id", "doc_id", "tier", "rank")
+    return text.search(_table(spark, d, "documents"), _asked(spark), ["text"], 10, "doc_id", _index(spark, d)).select("query_id", "doc_id", "tier", "rank")
 
 
 @query("SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents)")
@@ -386,20 +392,28 @@ def rerank_sort(spark, d):
     return hybrid.rerank(hybrid.rrf_merge(_lists(spark, d), key="item"), score, "item").select("item", F.col("position").cast("long").alias("position"))
 
 
-@query(_fts_sql("""SELECT query_id, doc_id, round(rrf, 6) AS rrf_score FROM (SELECT query_id, doc_id, SUM(1.0 / (60 + r)) AS rrf FROM (
-  SELECT query_id, doc_id, r FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS r FROM (SELECT *, MIN(tier) OVER (PARTITION BY query_id) AS low FROM scored) x WHERE tier = low) y WHERE r <= 30
-  UNION ALL SELECT query_id, doc_id, r FROM (SELECT a.query_id, e.vec_id AS doc_id, ROW_NUMBER() OVER (PARTITION BY a.query_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS r FROM (SELECT DISTINCT query_id FROM asked) a JOIN embeddings q ON q.vec_id = CAST(substr(a.query_id, 2) AS BIGINT), embeddings e) z WHERE r <= 30) u GROUP BY query_id, doc_id) w"""))
+@query(_fts_sql("""SELECT query_id, doc_id, round(rrf, 6) AS rrf_score, position, fts_count, vector_count, merged_count FROM (
+SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, doc_id) AS position FROM (SELECT *, SUM(fts) OVER (PARTITION BY query_id)::BIGINT AS fts_count, SUM(vec) OVER (PARTITION BY query_id)::BIGINT AS vector_count, COUNT(*) OVER (PARTITION BY query_id) AS merged_count FROM (
+SELECT query_id, doc_id, SUM(1.0 / (60 + r)) AS rrf, MAX(fts) AS fts, MAX(1 - fts) AS vec FROM (
+  SELECT query_id, doc_id, r, 1 AS fts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS r FROM (SELECT *, MIN(tier) OVER (PARTITION BY query_id) AS low FROM scored) x WHERE tier = low) y WHERE r <= 30
+  UNION ALL SELECT query_id, doc_id, r, 0 FROM (SELECT a.query_id, e.vec_id AS doc_id, ROW_NUMBER() OVER (PARTITION BY a.query_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS r FROM (SELECT DISTINCT query_id FROM asked) a JOIN embeddings q ON q.vec_id = CAST(substr(a.query_id, 2) AS BIGINT), embeddings e) z WHERE r <= 30) u GROUP BY query_id, doc_id) t) c WHERE doc_id IN (SELECT doc_id FROM documents)) w
+WHERE position <= 10"""))
 def hybrid_search(spark, d):
-    """Full text over documents and the vectors nearest to the query's, fused."""
-    asked, v = _asked(spark), _table(spark, d, "embeddings")
-    found = text.search(_table(spark, d, "documents").select("doc_id", "text"), asked, ["text"], 30, "doc_id").select("query_id", F.lit("fts").alias("source"), "doc_id", "rank")
-    probes = asked.select("query_id", F.substring("query_id", 2, 9).cast("long").alias("vec_id")).join(v, "vec_id").select("query_id", F.col("embedding").alias("query"))
-    near = vector.knn(v.select(F.col("vec_id").alias("doc_id"), "embedding"), probes, 30, "doc_id").select("query_id", F.lit("vector").alias("source"), "doc_id", "rank")
-    return hybrid.rrf_merge(found.unionByName(near), key="doc_id").select("query_id", "doc_id", F.round("rrf_score", 6).alias("rrf_score"))
+    """The library's search: documents as content, and the vectors nearest to the query's, fused and hydrated."""
+    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")  # noqa: E731  in order of numbers
+    docs, v = _table(spark, d, "documents"), _table(spark, d, "embeddings")
+    symbols = docs.select(key("doc_id").alias("id"), F.lit("").alias("name"), F.lit("function").alias("kind"))
+    content = docs.select(key("doc_id").alias("symbol_id"), F.col("text").alias("content"), F.lit("").alias("header"), F.lit("").alias("normalized_name"))
+    embeddings = v.select(key("vec_id").alias("symbol_id"), "embedding")
+    asked = _asked(spark).withColumn("vec_id", F.substring("query_id", 2, 9).cast("long")).join(v, "vec_id").select("query_id", "text", F.col("embedding").alias("query"))
+    own = _index(spark, d)
+    index = text.Index(own.postings.withColumn("symbol_id", key("doc_id")), own.lengths.withColumn("symbol_id", key("doc_id")), own.corpus)
+    found = hybrid.hybrid_search(symbols, content, embeddings, asked, 10, index=index)
+    return found.select("query_id", F.col("symbol.id").cast("long").alias("doc_id"), F.round("rrf_score", 6).alias("rrf_score"), F.col("position").cast("long").alias("position"), "fts_count", "vector_count", "merged_count")
 
 
 # Relevance: a label's members are what each query vector should find.
-NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id AS item, v.label, q.label AS want, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 10), expected AS (SELECT q.vec_id AS query_id, v.vec_id AS item, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS ideal_rank FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND v.label = q.label), n AS (SELECT query_id, COUNT(*) AS n FROM expected GROUP BY query_id)"
+NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id AS item, v.label, q.label AS want, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), expected AS (SELECT q.vec_id AS query_id, v.vec_id AS item, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS ideal_rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.label = q.label), n AS (SELECT query_id, COUNT(*) AS n FROM expected GROUP BY query_id)"
 
 
 @query(f"""WITH {NEAR}, hit AS (SELECT r.query_id, COUNT(*) AS hits, SUM((n - e.ideal_rank + 1) / log2(r.rank + 1)) AS dcg FROM near r JOIN expected e ON e.query_id = r.query_id AND e.item = r.item JOIN n ON n.query_id = r.query_id WHERE r.rank <= 10 GROUP BY r.query_id),
@@ -471,7 +485,16 @@ def deferred_embed_fires(spark, d):
     return watch.deferred_fires(bursts, 7200, ["user_id"])
 
 
-@query("SELECT doc_id, substr(text, 1, 400) AS content, 'h' || chr(10) || split_part(text, chr(10), 1) AS compact FROM documents WHERE length(trim(text)) >= 50")
+# Bytes are cut in hexadecimal, two digits each; what is left of a character that the cut splits goes.
+_SPLIT = "(?:C[2-9A-F]|D.|E.|F.|E.[89AB].|F.[89AB].|F.[89AB].[89AB].)$"
+_ENDS = "[\\x09-\\x0D\\x{85}\\p{Z}]+"
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents),
+cut AS (SELECT doc_id, CASE WHEN strlen(text) <= 2048 THEN text ELSE decode(unhex(regexp_replace(substr(h, 1, 4096), '^((?:..)*?){_SPLIT}', '\\1'))) END AS content FROM h)
+SELECT doc_id, content, 'h' || chr(10) || split_part(content, chr(10), 1) AS compact FROM cut WHERE strlen(regexp_replace(content, '^{_ENDS}|{_ENDS}$', '', 'g')) >= 50"""
+)
 def content_slice(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", S.content_slice(F.col("text")).alias("content")).where("content IS NOT NULL")
     return docs.select("doc_id", "content", S.compact_text(F.lit("h"), F.col("content")).alias("compact"))
