@@ -62,17 +62,22 @@ class CodeGraph:
             parse(kind, SYMBOL_KINDS)
         queries = self.spark.createDataFrame([(0, query)], "query_id int, text string")
         load = None if self._t("embeddings").isEmpty() else hashing_embedder
-        return hybrid.hybrid_search(self._t("symbols"), self._t("symbol_content"), self._t("embeddings"), queries, min(limit, graph.MAX_RESULTS), kind, load, scorer)
+        index = indexer.text_index(self.store)
+        return hybrid.hybrid_search(self._t("symbols"), self._t("symbol_content"), self._t("embeddings"), queries, min(limit, graph.MAX_RESULTS), kind, load, scorer, index)
 
-    def call(self, tool: str, **options) -> str:
-        """A tool's result as JSON; paths are confined to the root, and an empty index is said to be."""
+    def found(self, tool: str, **options) -> DataFrame | dict[str, int]:
+        """A tool's result; paths are confined to the root."""
         if tool not in TOOLS:
             raise ValueError(f"no tool {tool!r}; there are {', '.join(TOOLS)}")
         if missing := [p for p in TOOLS[tool] if not options.get(p)]:
             raise ValueError(f"{tool} needs {', '.join(missing)}")
-        if "file" in options and options["file"]:
+        if options.get("file"):
             tree.confined(options["file"], self.root)
-        found = getattr(self, tool)(**options)
+        return getattr(self, tool)(**options)
+
+    def call(self, tool: str, **options) -> str:
+        """A tool's result as JSON; an empty index is said to be."""
+        found = self.found(tool, **options)
         if isinstance(found, dict):
             return json.dumps(found)
         rows = [json.loads(x) for x in found.toJSON().collect()]

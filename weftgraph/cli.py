@@ -7,10 +7,12 @@ import json
 import sys
 import time
 
-from . import session
-from .api import TOOLS, CodeGraph
+from . import render, session
+from .api import HINT, TOOLS, CodeGraph
 from .operators.graph import outline_lines
 
+SLOWEST = 8
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftgraph")
@@ -61,19 +63,22 @@ def serve(graph: CodeGraph, lines=sys.stdin, out=sys.stdout) -> None:
 
 
 def watch(graph: CodeGraph, interval: float, rag_delay: float, turns: int | None = None) -> None:
-    """Re-indexes changed files every interval; embeds what is pending once nothing has changed for rag_delay seconds."""
-    pending, last = False, time.monotonic()
+    """Re-indexes changed files every interval; embeds what is pending once nothing has changed for rag_delay seconds. The
+    wait doubles, up to SLOWEST intervals, while nothing changes and nothing is pending."""
+    pending, last, slow = False, time.monotonic(), 1
     try:
         while turns is None or turns > 0:
             done = graph.index()
             if done["indexed"] or done["removed"]:
-                pending, last = True, time.monotonic()
+                pending, last, slow = True, time.monotonic(), 1
                 print(json.dumps(done), flush=True)
             elif pending and time.monotonic() - last >= rag_delay:
                 graph.rag_index()
                 pending = False
+            elif not pending:
+                slow = min(2 * slow, SLOWEST)
             turns = None if turns is None else turns - 1
-            time.sleep(interval if turns is None or turns else 0)
+            time.sleep(interval * slow if turns is None or turns else 0)
     except KeyboardInterrupt:
         pass
     finally:
@@ -100,14 +105,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for r in outline_lines(graph.store.read("symbols"), a.file).collect():
             print(r["line"])
         return 0
-    answer = json.loads(graph.call(tool, **options))
-    if a.json or "results" not in answer:
-        print(json.dumps(answer, indent=2, ensure_ascii=False))
-    else:
-        for r in answer["results"]:
-            print("  ".join(str(v) for v in r.values()))
-        if "hint" in answer:
-            print(answer["hint"])
+    if a.json or tool not in render.LINES:
+        print(json.dumps(json.loads(graph.call(tool, **options)), indent=2, ensure_ascii=False))
+        return 0
+    found = [r["text"] for r in render.lines(tool, graph.found(tool, **options)).select("text").collect()]
+    asked = next(iter(options.values()), None)
+    print("\n".join(found) if found else f"{render.EMPTY.get(tool, 'Nothing')} found for {asked!r}")
+    if not found and graph.store.version() == 0:
+        print(HINT)
     return 0
 
 

@@ -1,4 +1,5 @@
-"""Scalar functions as Columns: all of them stay in generated code."""
+"""Scalar functions as Columns. Those on arrays (ancestors, preview, clean_jsdoc, normalize_path, l2_distance) use lambdas,
+which Spark interprets; all others stay in generated code."""
 
 from __future__ import annotations
 

@@ -157,6 +157,17 @@ def embed(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]] =
     return F.pandas_udf(run, "array<float>")(text)
 
 
+def upserted(embeddings: DataFrame, new: DataFrame) -> DataFrame:
+    """embeddings with new's vectors in place of those of the same symbol; of several new ones of a symbol, the greatest."""
+    one = new.groupBy("symbol_id").agg(F.max("embedding").alias("embedding"))
+    return embeddings.join(one.select("symbol_id"), "symbol_id", "left_anti").select("symbol_id", "embedding").unionByName(one)
+
+
+def cleared(embeddings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """embeddings without those of ids(symbol_id); without any, none is left."""
+    return embeddings.limit(0) if ids is None else embeddings.join(ids.select("symbol_id").distinct(), "symbol_id", "left_anti")
+
+
 def needing_embeddings(content: DataFrame, symbols: DataFrame, embeddings: DataFrame) -> DataFrame:
     """symbol_id of content without a vector; variables are not embedded."""
     wanted = symbols.where("kind != 'variable'").select(F.col("id").alias("symbol_id"))

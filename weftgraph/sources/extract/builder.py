@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
+
 MOST_BYTES, LEAST_BYTES = 2048, 50
 
 
@@ -14,13 +16,17 @@ class Builder:
         self.edges: list[dict] = []
         self._ascii = source.isascii()
         self._data = None if self._ascii else source.encode()
+        self._bytes = None
+        if not self._ascii:
+            codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self._bytes = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
         self._lines = [0, *(i + 1 for i, c in enumerate(source) if c == "\n")]
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self._lines, at)
 
     def byte(self, at: int) -> int:
-        return at if self._ascii else len(self.source[:at].encode())
+        return at if self._ascii else int(self._bytes[min(at, len(self.source))])
 
     def symbol(self, name: str, kind: str, start: int, end: int, parent: str | None = None, signature: str | None = None, visibility: str = "public", is_async: bool = False, doc: str | None = None, end_line: int | None = None) -> str:
         """Places are in characters; the row holds lines and UTF-8 bytes. Returns the symbol's id."""

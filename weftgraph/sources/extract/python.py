@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import ast
 import re
+from itertools import accumulate
 
 from .builder import Builder
 
+#: The lines of the language: a form feed or a Unicode separator ends none.
+LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
 
 def _visibility(name: str) -> str:
     if name.startswith("__"):
@@ -17,10 +21,8 @@ def _visibility(name: str) -> str:
 class _Walk:
     def __init__(self, source: str, path: str, tree: ast.Module):
         self.out, self.source = Builder(source, path), source
-        self.starts = [0]
-        for text in source.splitlines(keepends=True):
-            self.starts.append(self.starts[-1] + len(text))
-        self.rows = source.splitlines(keepends=True)
+        self.rows = LINE.findall(source)
+        self.starts = [0, *accumulate(map(len, self.rows))]
         self.block(tree.body, None)
 
     def place(self, line: int, byte: int) -> int:

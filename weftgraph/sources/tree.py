@@ -6,6 +6,7 @@ Spark's own file sources hide names that begin with _ or ., and with them __init
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import subprocess
 from collections.abc import Iterator
@@ -74,9 +75,10 @@ class Paths(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.size = options["path"], int(options.get("filesPerPartition", "64"))
+        self.only = json.loads(options["only"]) if "only" in options else None
 
     def partitions(self) -> list[Paths]:
-        paths = list(walk(self.root))
+        paths = list(walk(self.root)) if self.only is None else self.only
         return [Paths(paths[i : i + self.size]) for i in range(0, len(paths), self.size)] or [Paths([])]
 
     def read(self, partition: Paths) -> Iterator[tuple]:
@@ -85,33 +87,40 @@ class TreeReader(DataSourceReader):
                 yield found
 
 
+def changed_at(path: str) -> int:
+    """When content, name or place of a file last changed, in nanoseconds; 0 if it is gone."""
+    try:
+        own = os.lstat(path)
+    except OSError:
+        return 0
+    return max(own.st_mtime_ns, own.st_ctime_ns)
+
+
 class TreeStreamReader(DataSourceStreamReader):
-    """Polls the tree; an offset is a count of polls that found something new, and a batch is what they found."""
+    """Polls the tree. An offset is the time of the newest change to a file or folder below root, so nothing is kept
+    between polls and a restart goes on from the checkpoint. The first batch has all files. A file that goes changes its
+    folder: a batch without rows."""
 
     def __init__(self, options: dict):
-        self.root, self.state, self.changes, self.polls = options["path"], {}, {}, 0
+        self.root, self.size = options["path"], int(options.get("filesPerPartition", "64"))
 
     def initialOffset(self) -> dict:
-        return {"poll": 0}
+        return {"ns": 0}
 
     def latestOffset(self) -> dict:
-        now = {p: (modified(f := os.path.join(self.root, p)), os.path.getsize(f) if os.path.exists(f) else -1) for p in walk(self.root)}
-        new = [p for p, s in now.items() if self.state.get(p) != s]
-        if new:
-            self.polls += 1
-            self.changes[self.polls] = new
-        self.state = now
-        return {"poll": self.polls}
+        folders = {self.root, *(os.path.dirname(os.path.join(self.root, p)) for p in walk(self.root))}
+        files = (os.path.join(self.root, p) for p in walk(self.root))
+        return {"ns": max([changed_at(f) for f in folders] + [changed_at(f) for f in files])}
 
     def partitions(self, start: dict, end: dict) -> list[Paths]:
-        paths = sorted({p for k in range(start["poll"] + 1, end["poll"] + 1) for p in self.changes.get(k, ())})
-        return [Paths(paths)]
+        paths = [p for p in walk(self.root) if start["ns"] < changed_at(os.path.join(self.root, p)) <= end["ns"]]
+        return [Paths(paths[i : i + self.size]) for i in range(0, len(paths), self.size)] or [Paths([])]
 
     def read(self, partition: Paths) -> Iterator[tuple]:
         return (found for p in partition.paths if (found := row(self.root, p)) is not None)
 
     def commit(self, end: dict) -> None:
-        self.changes = {k: v for k, v in self.changes.items() if k > end["poll"]}
+        pass
 
 
 class SourceTree(DataSource):
@@ -129,9 +138,16 @@ class SourceTree(DataSource):
         return TreeStreamReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """All files, or those of the given paths."""
+    spark.dataSource.register(SourceTree)
+    reader = spark.read.format("sourcetree")
+    return (reader if only is None else reader.option("only", json.dumps(only))).load(root)
+
+
+def stream_tree(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(SourceTree)
-    return spark.read.format("sourcetree").load(root)
+    return spark.readStream.format("sourcetree").load(root)
 
 
 def git_changed(root: str, last_commit: str | None) -> list[str] | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,36 +41,66 @@ def file_events(spark: SparkSession, folder: str, watermark: str = "10 seconds")
 
 
 class Watch:
-    """Runs reindex(burst_rows, batch) after each burst and embed(batch) once `embed_after` bursts-free batches have gone
-    by. An error in either is logged and the stream goes on; stop() embeds what is pending."""
-
-    def __init__(self, events: DataFrame, root: str, checkpoint: str, reindex: Callable[[DataFrame, int], int], embed: Callable[[int], None] | None = None, quiet: str = "2 seconds", embed_after: int = 1, available_now: bool = False, interval: str = "1 second"):
-        self.reindex, self.embed, self.embed_after = reindex, embed, embed_after
-        self.pending, self.idle, self.last = False, 0, -1
-        # a stream's sessions need a key: the root, which every relevant path begins with
-        bursts = debounce(relevant(events, root).withColumn("root", F.substring("path", 1, len(root))), quiet, ["root"])
-        writer = bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self._batch)
+    """Runs reindex(rows, batch) for each batch of `source` with rows, and embed(batch) once `embed_after` seconds have gone by
+    without another: a timer of processing time, for an idle stream has no batches. An error in either is logged and the
+    stream goes on; stop() embeds what is pending."""
+
+    def __init__(self, source: DataFrame, checkpoint: str, reindex: Callable[[DataFrame, int], int], embed: Callable[[int], None] | None = None, embed_after: float = 30.0, available_now: bool = False, interval: str = "2 seconds", always: bool = False):
+        self.reindex, self.embed, self.embed_after, self.always = reindex, embed, embed_after, always
+        self.pending, self.last, self._timer, self._lock = False, -1, None, threading.RLock()
+        writer = source.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self._batch)
         self.query: StreamingQuery = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
     def _batch(self, rows: DataFrame, batch: int) -> None:
-        self.last = batch
-        try:
-            if rows.isEmpty():
-                self.idle += 1
-                if self.pending and self.idle >= self.embed_after:
-                    self._embed(batch)
-            else:
-                self.pending = bool(self.reindex(rows, batch)) or self.pending
-                self.idle = 0
-        except Exception:
-            log.exception("batch %d", batch)
-
-    def _embed(self, batch: int) -> None:
-        if self.embed is not None:
-            self.embed(batch)
-        self.pending = False
+        with self._lock:
+            self.last = batch
+            try:
+                if (self.always or not rows.isEmpty()) and self.reindex(rows, batch):
+                    self.pending = True
+                    self._wait()
+            except Exception:
+                log.exception("batch %d", batch)
+
+    def _wait(self) -> None:
+        """The timer starts anew with each re-index."""
+        if self._timer is not None:
+            self._timer.cancel()
+        self._timer = threading.Timer(self.embed_after, self._fire)
+        self._timer.daemon = True
+        self._timer.start()
+
+    def _fire(self) -> None:
+        with self._lock:
+            if not self.pending:
+                return
+            try:
+                if self.embed is not None:
+                    self.embed(self.last)
+                self.pending = False
+            except Exception:
+                log.exception("embedding after batch %d", self.last)
 
     def stop(self) -> None:
         self.query.stop()
-        if self.pending:
-            self._embed(self.last)
+        if self._timer is not None:
+            self._timer.cancel()
+        self._fire()
+
+
+def watch_events(events: DataFrame, root: str, checkpoint: str, reindex: Callable[[DataFrame, int], int], embed: Callable[[int], None] | None = None, quiet: str = "2 seconds", **options) -> Watch:
+    """A Watch over bursts of relevant file events below root."""
+    # a stream's sessions need a key: the root, which every relevant path begins with
+    bursts = debounce(relevant(events, root).withColumn("root", F.substring("path", 1, len(root))), quiet, ["root"])
+    return Watch(bursts, checkpoint, reindex, embed, **options)
+
+
+def watch_tree(graph, checkpoint: str, quiet: str = "2 seconds", embed_after: float = 30.0, available_now: bool = False) -> Watch:
+    """Keeps a CodeGraph's index fresh: the tree is polled every `quiet`, so changes within it are one batch; the first
+    batch catches up with what changed while nothing watched, and embedding waits for a pause of embed_after seconds."""
+    from ..sources import tree
+
+    def reindex(_: DataFrame, batch: int) -> int:
+        done = graph.index()
+        return done["indexed"] + done["removed"]
+
+    return Watch(tree.stream_tree(graph.spark, graph.root), checkpoint, reindex, lambda _: graph.rag_index(), embed_after, available_now, quiet, always=True)
