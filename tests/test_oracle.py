@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from weftgraph import queries
+from weftgraph import queries, queries_more  # noqa: F401  it registers its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
