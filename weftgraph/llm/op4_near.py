@@ -233,6 +233,7 @@ def across(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, text_key, n_shingles, set_key, component, component_id): sets at least PERCENT %
     similar are linked; component_id is the smallest doc_id of the component. Rows without doc_id or set have no component."""
+    mark = store.mark()
     found = store.written(sketches(docs, k), "near-sketches")
     classes = classes_of(found)
     every = table_keys(classes)
@@ -267,6 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
     new = store.written(confirm(store.written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs"), sets), "near-links")
     if not new.isEmpty():
         state = linked(new)
+    store.sweep(mark, found, classes, state)
     placed = classes.select("node", "set_key", "doc_id").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = placed.select("set_key", "component", "doc_id")
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -268,9 +268,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, types), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), "text")
+    mark = store.mark()
     texts = texts_of(keyed)
     told = texts.select("doc", "text_key", F.col("doc_id").alias("first_id"), F.lit(True).alias("found")).join(removed(texts), "doc", "left")
     told = store.written(told.select("text_key", "first_id", "found", "spans"), "repeat-told")
+    store.sweep(mark, told)
     again = F.coalesce("found", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     return keyed.join(told, "text_key", "left").select("doc_id", "text", "spans", again.alias("again")).mapInArrow(run, SPANS)
 

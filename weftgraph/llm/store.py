@@ -52,13 +52,20 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the tables that written() has left in this process, once no DataFrame over them is needed."""
-    jvm, gone = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
+def mark() -> int:
+    """For sweep(): tables that written() gives from now on."""
+    return len(_WRITTEN)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Deletes the tables that written() has given since mark() was called, but for those that are still to be read."""
+    kept = {df._written_at for df in keep}
+    spark = keep[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in [p for p in _WRITTEN[since:] if p not in kept]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +75,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gapless(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, rows_per_block: int = 5_000) -> DataFrame:
     """Adds `out`: 0, 1, 2, ... within each group, whatever the group's size.
 
-    Rows are dealt by the hash of `order` into blocks of about rows_per_block; the counts of (block, group) give each
-    block its offset, so no task holds more than a block of a group. `rows` is df's count; df should be a written table,
-    for it is read twice. Rows equal in all of `order` get neighbouring numbers in either order.
+    Rows are dealt by the hash of `order` into blocks of about rows_per_block, those without its first column by their
+    place in the table; the counts of (block, group) give each block its offset, so no task holds more than a block of a
+    group. `rows` is df's count. Rows equal in all of `order` get neighbouring numbers in either order.
     """
     blocks = max(1, math.ceil(rows / rows_per_block))
-    cut = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    place = F.when(F.col(order[0]).isNull(), F.monotonically_increasing_id())
+    cut = written(df.withColumn("__block", F.pmod(F.xxhash64(*order, place), F.lit(blocks))), "blocks")
     counts = cut.groupBy("__block", *group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__block", *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
