@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .op1_packing import op1_packing
 from .op2_bpe import op2_bpe
 from .op3_shards import op3_shards
@@ -13,6 +14,6 @@ from .op8_secrets import op8_secrets
 from .op9_lines import op9_lines
 from .op10_quality import op10_quality
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_shards, op4_near, op5_audio, op6_urls, op7_repeats, op8_secrets, op9_lines, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_shards, op4_near, op5_audio, op6_urls, op7_repeats, op8_secrets, op9_lines, op10_quality)} | sql.PARTS
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
