@@ -5,8 +5,9 @@ batches of equal row counts are formed so that rows times the padded length stay
 than max_len are cut into pieces of max_len first, so the histogram has at most max_len rows, whatever the corpus.
 
 Lengths are counts of tokens by the ranks of byte_bpe_50k. Defined cases: null and empty texts have length 0 and no place
-in a batch: op1_packing() gives them one row of length 0 with a null bucket, pack() none unless asked; a null doc_id is packed like others; repeated rows are packed each; an empty table gives an empty result; extra columns
-are ignored.
+in a batch: op1_packing() gives them one row of length 0 with a null bucket, pack() none unless asked; texts of any length
+are counted whole; of equal paddings the smaller boundary is taken; a null doc_id is packed like others; repeated rows are
+packed each; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ a task combines the groups of one bucket to one partial partition of k sums; the
 combined in the same way, `fan_in` at a time, until one is left. No task sees more than per_bucket groups or fan_in
 partial partitions.
 
-Defined cases: a null text counts as no bytes and shares the group of the empty text; a null doc_id is a row like others;
-repeated rows stay together; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text counts as no bytes and shares the group of the empty text; a text of any length is one
+indivisible group, whatever the others weigh; of equal weights the smaller digest is placed first; a null doc_id is a row
+like others; repeated rows stay together; an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ are runs of key characters; known digests (hex of 32, 40, 56, 64, 96 or 128 digi
 in camel case or joined with numbers) are excluded first. Runs with one or none of lower case, upper case and digits, which
 may be plain words, and runs under LONG characters have to stay under a stricter ratio.
 
-Defined cases: a null text counts as empty and has no span; a null doc_id stays null; an empty table gives an empty
-result; repeated rows are scanned each; extra columns are ignored.
+Defined cases: a null text counts as empty and has no span; texts of any length are read whole; of spans that start together
+the base kinds come first, in their order; a null doc_id stays null; an empty table gives an empty result; repeated rows
+are scanned each; extra columns are ignored by scan() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
