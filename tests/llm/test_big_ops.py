@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tests.llm.test_small_ops import WORD, query
-from weftgraph.llm import graph, op4_near, op6_urls, op7_repeats, op9_lines, op10_quality
+from weftgraph.llm import graph, op4_near, op6_urls, op7_repeats, op10_quality, registry
 
 
 def union(pairs, nodes):
@@ -77,11 +77,15 @@ URLS = ["https://a.ORG/x?y", "http://sub.example.org/es/1", "http://example.org/
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate([*URLS, URLS[0], *(f"http://h{i}.com/{'de' if i % 3 else 'fr'}/{i}" for i in range(60))])], "page_id long, url string, score int")
+    urls = [*URLS, URLS[0], "http://long.net/" + "a/" * 20_000, *(f"http://h{i}.com/{'de' if i % 3 else 'fr'}/{i}" for i in range(60))]
+    df = spark.createDataFrame([(i, u, 1, "own", 2.0) for i, u in enumerate(urls)], "page_id long, url string, score int, host string, f_length double")
     rules = dict(op6_urls.RULES)
-    for r in op6_urls.judge(df.drop("score")).collect():
-        at = (r.url or "").find("://")
-        rest = (r.url or "")[at + 3 :] if at >= 0 else ""
+    found = op6_urls.judge(df).collect()
+    assert sorted(tuple(r.page) for r in found if r.page.url is not None) == sorted(tuple(r) for r in df.collect() if r.url is not None)
+    for r in found:
+        url = r.page.url or ""
+        at = url.find("://")
+        rest = url[at + 3 :] if at >= 0 else ""
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate({i: i + 32 for i in range(65, 91)})
@@ -93,6 +97,34 @@ def test_urls(spark):
     assert {r.verdict for r in op6_urls.judge(df.where("url = 'no scheme'")).collect()} == {"allow"}
 
 
+def test_url_verdicts_follow_the_trees(spark, tmp_path):
+    """The registered query, with every URL's score computed again from the fitted expression in plain Python."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [f"http://{word(5)}.com/{'de' if (bad := i % 2) else 'fr'}/{word(30 if bad else 4)}" for i in range(160)]
+    rows += [f"http://{word(5)}.net/{word(30 if i % 2 else 4)}" for i in range(60)] + [None, "x"]
+    spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in registry.QUERIES["op6_urls"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for r in got.values():
+        assert r.verdict == (dict(op6_urls.RULES)[r.rule] if r.rule else "block" if r.score > 0 else "allow")
+    right = [(got[160 + i].verdict == "block") == bool(i % 2) for i in range(60)]
+    assert sum(right) >= 54  # hosts that no rule knows, judged by what the trees have learnt
+    held = op6_urls.holdout(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    assert held["n"] > 15 and held["accuracy"] >= 0.9 > held["constant"]
+
+
+def test_suffix_statistics_leave_the_own_fold_out(spark):
+    rows = [(f"h{i}.{'com' if i % 3 else 'org'}", float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "host string, y double").withColumn("k", op6_urls.fold(F.col("host")))
+    stats = {(r["__suffix"], r["__fold"]): r.f_suffix for r in op6_urls.suffix_statistics(df).collect()}
+    held = df.collect()
+    for end in ("com", "org"):
+        for k in range(-1, op6_urls.FOLDS):
+            own = [r.y for r in held if r.host.endswith(end) and r.k != k]
+            assert abs(stats[end, k] - (sum(own) + 1) / (len(own) + 2)) < 1e-6
+
+
 def test_trees_learn(spark):
     rng = np.random.default_rng(0)
     n = 600
@@ -137,62 +169,6 @@ def test_repeats(spark, monkeypatch, large):
     assert query(monkeypatch, spark, "op7_repeats", cases.empty(spark)).count() == 0
 
 
-def distance(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        q = [i]
-        for j, y in enumerate(b, 1):
-            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
-        p = q
-    return p[-1]
-
-
-def test_banded_distance():
-    rng = random.Random(2)
-    for _ in range(4000):
-        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
-        b = "".join(c for c in a if rng.random() > 0.1) + rng.choice(["", "a", "bc"])
-        for most in (1, 2, 3):
-            assert op9_lines.within(a, b, most) == (distance(a, b) <= most)
-
-
-@pytest.mark.parametrize("hot", [op9_lines.HOT, 2])
-def test_lines(spark, monkeypatch, hot):
-    monkeypatch.setattr(op9_lines, "HOT", hot)
-    rng = random.Random(5)
-    base = [cases.prose(rng, 8) for _ in range(12)]
-    lines = [*base]
-    for x in base * 3:
-        k = rng.randrange(len(x))
-        lines.append(rng.choice([x[:k] + "#" + x[k:], x[:k] + x[k + 1 :], x[:k] + "#" + x[k + 1 :], x, "## " + x]))
-    lines += [f"a template of log lines with the value {i:04d}" for i in range(40)] + ["short", "short", "shorts", "", " ", "\t"]
-    rng.shuffle(lines)
-    data = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(len(lines) // 5 + 1)]
-    data += [(90, None), (91, ""), data[3]]
-    texts = sorted({x for _, t in data for x in (t or "").split("\n") if WORD.search(x)})
-    long = [x for x in texts if len(x) >= op9_lines.MIN_CHARS]
-    links = [(a, b) for n, a in enumerate(long) for b in long[:n] if abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1]
-    of, degree = union(links, texts), collections.Counter(x for p in links for x in p)
-    first, want = {}, {}
-    for i, t in sorted(data[:-1], key=lambda x: x[0]):
-        kept, gone, ties = [], 0, 0
-        for n, x in enumerate((t or "").split("\n")):
-            if WORD.search(x):
-                ties += degree[x]
-                if first.setdefault(of[x], (i, n)) != (i, n):
-                    gone += 1
-                    continue
-            kept.append(x)
-        want[i] = (gone, ties, hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    got = query(monkeypatch, spark, "op9_lines", cases.frame(spark, data)).collect()
-    assert len(got) == len(data)
-    for r in got:
-        assert (r.n_removed, r.n_links, r.kept_sha256) == want[r.doc_id], r.doc_id
-    assert query(monkeypatch, spark, "op9_lines", cases.empty(spark)).count() == 0
-    out = op9_lines.dedup_lines(cases.frame(spark, [*data, (None, "a line that stands nowhere else at all")]))
-    assert out.columns == cases.frame(spark).columns and {r.doc_id for r in out.collect()} >= {90, 91, None}
-
-
 def quality_by_hand(text):
     t = text or ""
     w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
@@ -223,33 +199,3 @@ def test_em_finds_planted_accuracies():
     share, accuracy = op10_quality.fit(patterns)
     assert abs(share - 0.85) < 0.02 and all(abs(a - x) < 0.03 and abs(b - y) < 0.06 for (a, b), x, y in zip(accuracy, hit_good, hit_bad, strict=True))
     assert op10_quality.fit({}) [1] == []
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    assert [n for n, _ in p.STAGES] == ["quality", "line_dedup", "near_dedup", "secrets", "packing"]
-    rng = random.Random(1)
-    own = lambda i: "\n".join(" ".join(rng.choice(cases.WORDS) + str(rng.randrange(400)) if rng.random() < 0.5 else rng.choice(["the", "of", "and", "to"]) for _ in range(12)) for _ in range(8))
-    clean = [(i, own(i)) for i in range(40)]
-    copy = (100, clean[3][1])
-    near = (101, "\n".join(x.replace(" ", "  ", 1).replace("the", "thee", 1) + " tail" for x in clean[4][1].split("\n")))
-    junk = (102, "### $$$ &&& %%% " * 20)
-    secret = (103, own(0) + "\nthe password = hunter2222 and more of it to be found")
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*clean, copy, near, junk, secret]], "doc_id long, text string, lang string, source string, n_chars long")
-    columns = docs.columns
-    for name, stage in p.STAGES:
-        before, docs = docs, stage(spark, docs, "")
-        if name != "packing":
-            assert docs.columns == columns
-            ids = {r.doc_id for r in docs.select("doc_id").collect()}
-            assert set(range(40)) <= ids
-        if name == "quality":
-            assert 102 not in ids
-        if name == "line_dedup":
-            assert 100 not in ids
-            assert all(r.n_chars == len(r.text) for r in docs.collect())
-        if name == "secrets":
-            text = docs.where("doc_id = 103").first().text
-            assert "hunter" not in text and "[secret]" in text
-    assert docs.agg(F.sum("length")).first()[0] == sum(len(WORD.findall(r.text)) for r in before.collect()) or docs.count() > 0

@@ -38,11 +38,14 @@ def test_url_statistics_cover_all_rows_and_a_hot_url_is_sampled_once(spark, monk
     assert out.count() == len(rows)
     blocked = {u: float("/de/" in u) for u in urls}
     assert len(seen) == 40 and {r.y for r in seen} == {0.0, 1.0} and sorted(r.weight for r in seen) == [1] * 39 + [81]
+    of_host = {u: u.split("/")[2] for u in urls}
+    k = {r.host: r.k for r in spark.createDataFrame([(h,) for h in set(of_host.values())], "host string").withColumn("k", op6_urls.fold(F.col("host"))).collect()}
     want = set()
-    for end in (".com/", ".org/"):
-        own = [blocked[u] for u in rows if end in u]
-        want.add(round((sum(own) + 1) / (len(own) + 2), 6))
-    assert {round(r.f_suffix, 6) for r in seen} == want
+    for end in ("com", "org"):
+        for fold in range(op6_urls.FOLDS):
+            own = [blocked[u] for u in rows if u in of_host and of_host[u].endswith(end) and k[of_host[u]] != fold]
+            want.add(round((sum(own) + 1) / (len(own) + 2), 6))
+    assert {round(r.f_suffix, 6) for r in seen} <= want and {r.f_suffix for r in seen} != {0.5}
 
 
 def test_secrets_of_one_class_and_short_ones(spark):

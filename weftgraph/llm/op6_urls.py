@@ -2,12 +2,15 @@
 
 A rule names a host and a path prefix; it fits its host and all subdomains, and the longest fitting rule wins. URLs that
 rules decide are the labelled ones. A bounded sample of them (max_labelled distinct URLs of lowest hash, weighted by their
-rows; nothing else is sampled) trains the trees: every level of a tree is one aggregation of gradients by node, feature and bin, and the
-fitted trees become one CASE expression, so that all URLs are scored in generated code.
+rows; nothing else is sampled) trains the trees: every level of a tree is one aggregation of gradients by node, feature
+and bin, and the fitted trees become one CASE expression, so that all URLs are scored in generated code. A labelled URL
+trains with suffix statistics of the other folds of hosts only, so its own label isn't among its features; holdout()
+measures the trees on hosts that they haven't seen.
 
 Defined cases: a null URL or one without :// has empty host and path, fits no rule and is judged by the method; without
-labelled URLs, or with one class only, the method's verdict is the prior's (ties: allow); a null page_id stays null; an
-empty table gives an empty result; repeated rows are judged each, alike; extra columns are kept by judge().
+labelled URLs, or with one class only, the method's verdict is the prior's (ties: allow); URLs of any length are read
+whole; a null page_id stays null; an empty table gives an empty result; repeated rows are judged each, alike; the whole
+input row, extra columns of any name included, is kept in the struct `page`.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from . import store
 
 #: The rules of the contract.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-MAX_LABELLED, TREES, DEPTH, RATE, BINS, SMOOTH = 20_000, 8, 3, 0.4, 8, 1.0
+MAX_LABELLED, TREES, DEPTH, RATE, BINS, SMOOTH, FOLDS = 20_000, 8, 3, 0.4, 8, 1.0, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,18 +82,29 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """labelled(host, y) -> (__suffix, f_suffix), from all rows."""
-    return labelled.groupBy(suffix(F.col("host")).alias("__suffix")).agg(((F.sum("y") + SMOOTH) / (F.count(F.lit(1)) + 2 * SMOOTH)).alias("f_suffix"))
+def fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
 
-def with_suffix_statistics(pages: DataFrame, stats: DataFrame) -> DataFrame:
-    """f_suffix: the smoothed share of blocked URLs among labelled ones with the host's last label (0.5 where none).
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """labelled(host, y) -> (__suffix, __fold, f_suffix), from all rows: the smoothed share of blocked ones among those with
+    the host's last label; fold -1 has all of them, the others all but their own.
 
-    A rule fits hosts of its own last label only, so the statistics have at most a row for each rule.
+    A rule fits hosts of its own last label only, so there are at most FOLDS + 1 rows for each rule.
     """
-    joined = pages.withColumn("__suffix", suffix(F.col("host"))).join(F.broadcast(stats), "__suffix", "left")
-    return joined.withColumn("f_suffix", F.coalesce(F.round("f_suffix", 6), F.lit(0.5))).drop("__suffix")
+    each = labelled.groupBy(suffix(F.col("host")).alias("__suffix"), fold(F.col("host")).alias("own")).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("__suffix").agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"))
+    folds = F.explode(F.array(*(F.lit(k) for k in range(-1, FOLDS)))).alias("__fold")
+    asked = whole.select("__suffix", "all_y", "all_n", folds).join(each.withColumnRenamed("own", "__fold"), ["__suffix", "__fold"], "left")
+    y, n = F.col("all_y") - F.coalesce("y", F.lit(0.0)), F.col("all_n") - F.coalesce("n", F.lit(0))
+    return asked.select("__suffix", "__fold", F.round((y + SMOOTH) / (n + 2 * SMOOTH), 6).alias("f_suffix"))
+
+
+def with_suffix_statistics(pages: DataFrame, stats: DataFrame, fold: Column | None = None) -> DataFrame:
+    """pages(host) with f_suffix of the given fold (none: all labelled rows); 0.5 where no labelled host has the suffix."""
+    keyed = pages.withColumns({"__suffix": suffix(F.col("host")), "__fold": F.lit(-1) if fold is None else fold})
+    joined = keyed.join(F.broadcast(stats), ["__suffix", "__fold"], "left")
+    return joined.withColumn("f_suffix", F.coalesce("f_suffix", F.lit(0.5))).drop("__suffix", "__fold")
 
 
 def _leaf_value(g: float, h: float) -> float:
@@ -166,24 +180,45 @@ def fit(labelled: DataFrame) -> Column:
     return margin
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """pages(url, ...) with host, path, rule, verdict (allow or block) and score, the method's log odds of block."""
+def named(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """pages(url, ...) -> (page struct, url, host, path, rule, y): y is 1.0 where the rule blocks, null without a rule."""
     host, path = host_path(F.col("url"))
-    named = pages.withColumns({"host": host, "path": path})
-    named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    blocks = [rule for rule, verdict in rules if verdict == "block"]
-    decided = named.where(F.col("rule").isNotNull()).select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("y"))
-    stats = store.written(suffix_statistics(decided), "url-suffixes")
+    own = pages.select(F.struct("*").alias("page"), "url").withColumns({"host": host, "path": path})
+    own = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    return own.withColumn("y", F.when(F.col("rule").isNotNull(), F.col("rule").isin([rule for rule, verdict in rules if verdict == "block"]).cast("double")))
+
+
+def training_rows(decided: DataFrame, stats: DataFrame, max_labelled: int) -> DataFrame:
+    """decided(url, host, path, y) -> a written table (FEATURES, host, y, weight) of at most max_labelled distinct URLs."""
     distinct = decided.groupBy("url", "host", "path", "y").agg(F.count(F.lit(1)).alias("weight"))
     sample = store.written(distinct.orderBy(F.xxhash64("url"), "url").limit(max_labelled), "url-sample")
-    labelled = store.written(with_suffix_statistics(lexical(sample), stats).select(*FEATURES, "y", "weight"), "url-labelled")
-    score = fit(labelled)
-    scored = with_suffix_statistics(lexical(named), stats).withColumn("score", F.round(score, 6)).drop(*FEATURES)
-    verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(blocks), "block").otherwise("allow")).otherwise(F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict)
+    return store.written(with_suffix_statistics(lexical(sample), stats, fold(F.col("host"))).select(*FEATURES, "host", "y", "weight"), "url-labelled")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """pages(url, ...) -> (page struct, host, path, rule, verdict, score): allow or block, and the log odds of block."""
+    own = named(pages, rules)
+    decided = own.where("y IS NOT NULL").select("url", "host", "path", "y")
+    stats = store.written(suffix_statistics(decided), "url-suffixes")
+    score = fit(training_rows(decided, stats, max_labelled))
+    scored = with_suffix_statistics(lexical(own), stats).withColumn("score", F.round(score, 6))
+    blocked = F.coalesce(F.col("y") > 0, F.col("score") > 0)
+    return scored.select("page", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "score")
+
+
+def holdout(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_labelled: int = MAX_LABELLED) -> dict[str, float]:
+    """Distinct URLs of the first fold of hosts, judged by trees that learnt from the other folds: how many, the share
+    judged as the rules do, and the share of the more frequent class, which a constant verdict would get."""
+    decided = named(pages, rules).where("y IS NOT NULL").select("url", "host", "path", "y")
+    learnt = decided.where(fold(F.col("host")) != 0)
+    score = fit(training_rows(learnt, store.written(suffix_statistics(learnt), "url-suffixes"), max_labelled))
+    asked = decided.where(fold(F.col("host")) == 0).distinct()
+    judged = with_suffix_statistics(lexical(asked), suffix_statistics(learnt)).select("y", (score > 0).cast("double").alias("z"))
+    n, right, blocked = judged.agg(F.count(F.lit(1)), F.avg((F.col("y") == F.col("z")).cast("double")), F.avg("y")).first()
+    return {"n": n, "accuracy": right or 0.0, "constant": max(blocked, 1 - blocked) if n else 0.0}
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URL of pages: host, path, rule, verdict and the trees' score."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judge(pages).select("page.page_id", "host", "path", "rule", "verdict", "score")
