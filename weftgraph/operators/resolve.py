@@ -27,12 +27,11 @@ def targets(need: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """edges with target_id filled where it was null and a tier finds one; `tier` is null for edges that came resolved."""
-    named = edges.withColumn("simple", S.simple_name(F.col("target_name")))
-    need = named.where("target_id IS NULL").select("simple", "file_path").distinct()
-    found = targets(need, symbols).withColumnRenamed("target_id", "__found")
-    joined = named.join(found, ["simple", "file_path"], "left")
-    open_edge = F.col("target_id").isNull()
-    return joined.select(*(F.coalesce("target_id", "__found").alias("target_id") if c == "target_id" else F.col(c) for c in edges.columns), F.when(open_edge, F.col("tier")).alias("tier"))
+    open_edges = edges.where("target_id IS NULL").withColumn("simple", S.simple_name(F.col("target_name")))
+    found = targets(open_edges.select("simple", "file_path").distinct(), symbols).withColumnRenamed("target_id", "__found")
+    joined = open_edges.join(found, ["simple", "file_path"], "left")
+    told = joined.select(*(F.col("__found").alias("target_id") if c == "target_id" else F.col(c) for c in edges.columns), "tier")
+    return told.unionByName(edges.where("target_id IS NOT NULL").withColumn("tier", F.lit(None).cast("int")))
 
 
 def invalidated(edges: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame, changed_files: DataFrame) -> DataFrame:
@@ -43,6 +42,7 @@ def invalidated(edges: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame
     named = edges.withColumn("__simple", S.simple_name(F.col("target_name")))
     marked = named.join(names.select(F.col("name").alias("__simple"), F.lit(True).alias("__touched")), "__simple", "left")
     alive = new_symbols.select(F.col("id").alias("target_id"), F.lit(True).alias("__alive"))
-    marked = marked.join(alive, "target_id", "left")
+    linked = marked.where("target_id IS NOT NULL").join(alive, "target_id", "left")  # nulls would all meet in one task
     keep = F.col("__alive").isNotNull() & F.col("__touched").isNull()
-    return marked.select(*(F.when(keep, F.col(c)).alias(c) if c == "target_id" else F.col(c) for c in edges.columns))
+    told = linked.select(*(F.when(keep, F.col(c)).alias(c) if c == "target_id" else F.col(c) for c in edges.columns))
+    return told.unionByName(marked.where("target_id IS NULL").select(*edges.columns))

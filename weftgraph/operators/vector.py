@@ -21,22 +21,58 @@ DIM, BATCH, MAX_QUERIES, BLOCK = 384, 512, 4096, 1024
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "symbol_id") -> DataFrame:
     """vectors(key, embedding), queries(query_id, query) -> (query_id, key, distance, rank), by L2 distance, exactly.
 
-    Queries meet every vector, MAX_QUERIES of them at a time, so what is broadcast is bounded. Each task keeps its own k
-    best of a query before the shuffle.
+    Queries meet every vector in blocks of about MAX_QUERIES, which bounds what is sent to tasks. A matrix product a batch
+    of vectors tells which may be among a query's k best; these are measured exactly, and each task gives its own k best
+    of a query. Vectors and queries that are null, or of different lengths, have no distance.
     """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / MAX_QUERIES))
+    asked = queries.where(F.col("query").isNotNull())
+    blocks = max(1, math.ceil(asked.count() / MAX_QUERIES))
     out = None
     for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = vectors.crossJoin(F.broadcast(own)) if n else vectors.crossJoin(own)
-        found = met.select("query_id", key, S.l2_distance(F.col("embedding"), F.col("query")).alias("distance"))
-        order = Window.partitionBy("query_id").orderBy("distance", key)
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = own.select("query_id", "query").collect()  # a block
+        names = vectors.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(rows)], T.StructType([T.StructField("__query", T.IntegerType()), queries.schema["query_id"]]))
+        found = _block_knn(vectors.select(key, "embedding"), [r["query"] for r in rows], k, key)
+        order = Window.partitionBy("__query").orderBy("distance", key)
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = ranked.join(F.broadcast(names), "__query").select("query_id", key, "distance", "rank")
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
+def _block_knn(vectors: DataFrame, asked: list[list[float]], k: int, key: str) -> DataFrame:
+    """vectors(key, embedding) -> (__query, key, distance): each task's k best of every query in the list."""
+    lengths = [len(q) for q in asked]
+    groups = {d: np.flatnonzero(np.array(lengths) == d) for d in set(lengths)}
+    matrices = {d: np.array([asked[n] for n in numbers], np.float64) for d, numbers in groups.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            lists = batch.column("embedding")
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for d, q in matrices.items():
+                at = np.flatnonzero(length == d)
+                if not len(at) or not d:
+                    continue
+                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                rough = np.square(q).sum(axis=1)[:, None] + np.square(v).sum(axis=1) - 2 * (q @ v.T)
+                room = 1e-6 * (1 + np.square(q).sum(axis=1).max() + np.square(v).sum(axis=1).max())
+                kth = np.partition(rough, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1] if len(at) >= k else np.full(len(q), np.inf)
+                row, col = np.nonzero(rough <= (kth + room)[:, None])
+                exact = np.sqrt(np.square(q[row] - v[col]).sum(axis=1))
+                keys = batch.column(key).take(pa.array(at[col])).to_pandas()
+                new = pd.DataFrame({"row": row, "distance": exact, "key": keys.to_numpy()})
+                both = new if d not in held else pd.concat([held[d], new])
+                held[d] = both.sort_values(["row", "distance", "key"], kind="stable").groupby("row", sort=False).head(k)
+        for d, best in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(groups[d][best["row"]], pa.int32()), pa.array(best["key"].tolist(), kind), pa.array(best["distance"].to_numpy())], ["__query", key, "distance"])
+
+    kind = pa.string() if isinstance(vectors.schema[key].dataType, T.StringType) else pa.int32() if isinstance(vectors.schema[key].dataType, T.IntegerType) else pa.int64()
+    schema = T.StructType([T.StructField("__query", T.IntegerType()), vectors.schema[key], T.StructField("distance", T.DoubleType())])
+    return vectors.where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).mapInArrow(run, schema)
+
+
 class _Nearest:
     """The k nearest other vectors of a block, as it meets one block after another."""
 
@@ -133,12 +169,25 @@ def hashing_embedder(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+_MODELS: dict[tuple[str, str], Callable[[list[str]], np.ndarray]] = {}
+
+
+def loaded(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """load(), called once a process for a function that a module names; others may differ under one name."""
+    name = (load.__module__, load.__qualname__)
+    if "<" in name[1] or name[0] == "__main__":
+        return load()
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 def embed(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> Column:
-    """array<float> of each text; `load` is called once a worker task and returns the model. A failing batch is retried
-    text by text, and what fails alone is null."""
+    """array<float> of each text; `load` returns the model, and a worker process that is used again keeps it. A failing
+    batch is retried text by text, and what fails alone is null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = loaded(load)
         for batch in batches:
             out: list = []
             for at in range(0, len(batch), BATCH):

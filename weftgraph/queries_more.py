@@ -208,3 +208,11 @@ def eval_means(spark, d):
     """Means over all queries."""
     found = evaluate.means(QUERIES["eval_pk_rk_ndcg"](spark, d))
     return found.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")))
+
+
+@query("SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def l2_distances(spark, d):
+    """Distances of pairs as an expression."""
+    v = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(other, "vec_id").select("vec_id", F.round(S.l2_distance(F.col("embedding"), F.col("other")), 6).alias("distance"))
