@@ -139,14 +139,19 @@ def starts_upper(name: Column) -> Column:
     return name.rlike(r"^\p{Lu}")
 
 
-def visibility(name: Column, language: Column) -> Column:
-    """By name: Python's underscores, Go's capitals, # and _ of JavaScript, Ruby's leading underscore."""
+def visibility(name: Column, language: Column, modifiers: Column | None = None) -> Column:
+    """By name: Python's underscores, Go's capitals, # and _ of JavaScript, Ruby's leading underscore. By modifiers, the
+    words before a definition: Rust's pub, and private or protected of TypeScript and Ruby, which come first."""
+    words = F.coalesce(F.lit("") if modifiers is None else modifiers, F.lit(""))
+    said = F.when(words.rlike(r"\bprivate\b"), "private").when(words.rlike(r"\bprotected\b"), "protected")
     dunder = name.startswith("__") & name.endswith("__")
     python = F.when(dunder, "public").when(name.startswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
     go = F.when(starts_upper(name), "public").otherwise("private")
-    script = F.when(name.startswith("#"), "private").when(name.startswith("_"), "protected").otherwise("public")
-    ruby = F.when(name.startswith("_"), "private").otherwise("public")
-    return F.when(language == "python", python).when(language == "go", go).when(language.isin("javascript", "typescript", "tsx"), script).when(language == "ruby", ruby).otherwise("public")
+    script = F.coalesce(said, F.when(name.startswith("#"), "private").when(name.startswith("_"), "protected").otherwise("public"))
+    ruby = F.coalesce(said, F.when(name.startswith("_"), "private").otherwise("public"))
+    rust = F.when(words.rlike(r"\bpub\b") | F.lit(modifiers is None), "public").otherwise("private")
+    by_language = F.when(language == "python", python).when(language == "go", go).when(language.isin("javascript", "typescript", "tsx"), script)
+    return by_language.when(language == "ruby", ruby).when(language == "rust", rust).otherwise("public")
 
 
 def _accents() -> tuple[str, str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import render, schema
 from .functions import scalars as S
+from .functions import sql
 from .operators import evaluate, graph, incremental, lookup, text, vector
 from .plans import lift
 from .queries import EDG, FIL, ORACLE_SQL, QUERIES, RESOLVED, STORED, SYM, _asked, _edges, _fts_sql, _index, _stored, _table, query
@@ -216,3 +217,19 @@ def l2_distances(spark, d):
     v = _table(spark, d, "embeddings").select("vec_id", "embedding")
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return v.join(other, "vec_id").select("vec_id", F.round(S.l2_distance(F.col("embedding"), F.col("other")), 6).alias("distance"))
+
+
+@query(f"WITH {SYM}, m AS (SELECT DISTINCT name, unnest(['pub ', 'pub(crate) ', '', 'private static ', 'protected ']) AS modifiers FROM symbols), l AS (SELECT unnest(['rust', 'typescript', 'ruby']) AS language) SELECT name, modifiers, language, CASE language WHEN 'rust' THEN CASE WHEN starts_with(modifiers, 'pub') THEN 'public' ELSE 'private' END ELSE CASE WHEN contains(modifiers, 'private') THEN 'private' WHEN contains(modifiers, 'protected') THEN 'protected' ELSE 'public' END END AS visibility FROM m, l")
+def visibility_modifiers(spark, d):
+    words = F.explode(F.array(*(F.lit(x) for x in ("pub ", "pub(crate) ", "", "private static ", "protected ")))).alias("modifiers")
+    asked = lift.symbols(spark, d).select("name").distinct().select("name", words)
+    asked = asked.select("*", F.explode(F.array(*(F.lit(x) for x in ("rust", "typescript", "ruby")))).alias("language"))
+    return asked.select("name", "modifiers", "language", S.visibility(F.col("name"), F.col("language"), F.col("modifiers")).alias("visibility"))
+
+
+@query(f"WITH {SYM} SELECT id, split_part(id, ':', -1) AS last, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, file_path || ':' || name || ':' || CAST(start_line AS STRING) AS same, CASE WHEN kind IN ('function', 'method', 'class') THEN 0 ELSE 3 END AS penalty, CAST(floor((strlen(name) + 3) / 4) AS BIGINT) AS tokens FROM symbols")
+def sql_functions(spark, d):
+    """The scalar functions as a session's SQL has them."""
+    sql.register(spark)
+    text_of = "SELECT id, weft_last_segment(id, ':') AS last, weft_dirname(file_path) AS dir, weft_symbol_id(file_path, name, start_line) AS same, weft_kind_penalty(kind) AS penalty, weft_token_estimate(name) AS tokens FROM {symbols}"
+    return spark.sql(text_of, symbols=lift.symbols(spark, d))
