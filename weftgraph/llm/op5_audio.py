@@ -1,14 +1,16 @@
 """Media columns: audio features of stored 8-bit sound.
 
-Sound is stored as WAV (mono, 8-bit unsigned PCM), read back, resampled by a polyphase filter, turned into overlapped
-log-mel filterbank frames, cut into fixed-shape patches that are stored as an Arrow fixed_shape_tensor array with their
-time spans, and segmented by energy with hysteresis: a segment opens above the high threshold and lasts until the energy
-falls below the low one.
+Sound is stored as WAV (mono, 8-bit unsigned PCM) in a written table. What is read back from it is resampled by a
+polyphase filter, turned into overlapped log-mel filterbank frames, cut into fixed-shape patches that become an Arrow
+fixed_shape_tensor array with their time spans, and segmented by energy with hysteresis: a segment opens with the first
+frame above the high threshold and ends before the first that isn't above the low one. Spark's columns have no extension
+types, so a row's tensors are an Arrow stream in a binary column.
 
 Every row is computed alone, in blocks of frames, so memory doesn't depend on a sound's length beyond its own bytes and
 equal payloads give equal features whatever the batch. Defined cases: a null text counts as empty; an empty payload is
-padded to 64 zero bytes; a null doc_id stays null; an empty table gives an empty result; repeated rows are computed each;
-extra columns are ignored.
+padded to 64 zero bytes; very long texts are one sound each, in batches bounded by bytes; a null doc_id stays null; an
+empty table gives an empty result; repeated rows and ties are computed each; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from .shingles import by_bytes
 
 RATE, UP, DOWN, TAPS = 16_000, 3, 4, 12
 FRAME, HOP, MELS, PATCH = 256, 128, 24, 16
@@ -100,10 +103,15 @@ def log_mel(y: np.ndarray) -> np.ndarray:
 
 
 def segments(energy: np.ndarray, high: float, low: float) -> list[tuple[int, int]]:
-    """Maximal runs of frames above `low` that reach `high` somewhere: [start, end)."""
+    """Runs of frames [start, end) that start above `high` and end before the first frame not above `low`."""
     above = np.concatenate([[0], (energy > low).astype(np.int8), [0]])
     edge = np.flatnonzero(np.diff(above))
-    return [(int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True) if energy[s:e].max() > high]
+    found = []
+    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        loud = np.flatnonzero(energy[s:e] > high)
+        if len(loud):
+            found.append((s + int(loud[0]), e))
+    return found
 
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -135,39 +143,44 @@ def summary(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
     return f"frames={len(mel)};mels={MELS};segments={len(spans)};active={sum(e - s for s, e in spans)};logmel={zlib.crc32(rounded.tobytes()):08x}"
 
 
-MEDIA = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>"
+MEDIA = "doc_id long, n_bytes long, media binary"
+FEATURES = f"{MEDIA}, tensors binary, segments array<struct<start_s:double,end_s:double>>"
 
 
-def store_audio(docs: DataFrame, media: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> MEDIA: the WAV file, the Arrow tensors and the segments' spans in seconds."""
+def store_audio(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> MEDIA: the WAV file of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = HOP / (RATE * UP / DOWN)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                n, wavs, tensors, spans = [], [], [], []
-                for text in part.column("text"):
-                    data = (text.as_py() or "").encode()
-                    wav = write_wav(padded(data))
-                    mel, own = features(read_wav(wav)[0])
-                    n.append(len(data))
-                    wavs.append(wav)
-                    tensors.append(tensor_bytes(mel))
-                    spans.append([{"start_s": s * step, "end_s": e * step} for s, e in own])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(wavs, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
-                    names=["doc_id", "n_bytes", "media", "tensors", "segments"],
-                )
+        for part in (p for batch in batches for p in by_bytes(batch, "text")):
+            data = [(text.as_py() or "").encode() for text in part.column("text")]
+            columns = [part.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([write_wav(padded(x)) for x in data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
 
 
+def analysed(stored: DataFrame) -> DataFrame:
+    """MEDIA -> FEATURES: the Arrow tensors and the segments' spans in seconds, from the stored files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = HOP / (RATE * UP / DOWN)
+        kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+        for part in (p for batch in batches for p in by_bytes(batch, "media", 64)):
+            tensors, spans = [], []
+            for wav in part.column("media"):
+                mel, own = features(read_wav(wav.as_py())[0])
+                tensors.append(tensor_bytes(mel))
+                spans.append([{"start_s": s * step, "end_s": e * step} for s, e in own])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tensors, pa.binary()), pa.array(spans, kind)], names=[*part.schema.names, "tensors", "segments"])
+
+    return stored.mapInArrow(run, FEATURES)
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors_sha256 string"
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """MEDIA -> DIGEST: every value is computed from the stored file and the stored tensors, read back."""
+    """FEATURES -> DIGEST: every value is computed from the stored file and from the tensors, read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = HOP / (RATE * UP / DOWN)
@@ -192,4 +205,4 @@ def digest(stored: DataFrame) -> DataFrame:
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as 8-bit sound: stored, read back, and its features."""
-    return digest(store_audio(store.documents(spark, sf_dir)))
+    return digest(analysed(store.written(store_audio(store.documents(spark, sf_dir)), "audio-media")))
