@@ -2,11 +2,12 @@
 
 Nine rules vote good (1) or bad (-1) or abstain (0). Expectation-maximisation over the counts of all vote patterns of
 documents that the base rules leave open (3 ** 9 patterns at most, whatever the corpus) estimates each rule's accuracy
-on good and on bad documents and the share of good ones; a document is kept if its posterior probability of being good is one half or more. This replaces filtering by
-"all rules must pass". Two base rules come first: fewer than 20 words, or over 30 % of words in repeated windows.
+on good and on bad documents and the share of good ones; a document is kept if its posterior probability of being good
+is one half or more. This replaces filtering by "all rules must pass". Two base rules come first: fewer than 20 words, or over 30 % of words in repeated windows.
 
-Defined cases: a null text has no words and fails; a null doc_id stays null; an empty table gives an empty result;
-repeated rows are judged each, alike; extra columns are ignored by features() and kept by keep().
+Defined cases: a null or empty text has no words and fails; texts of any length are read whole; a null doc_id stays null; an
+empty table gives an empty result; repeated rows are judged each, alike; a posterior of exactly one half keeps; extra
+columns are ignored by features() and kept by keep(), whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.length("__letters").cast("long").alias("n_letters"),
         F.length(F.regexp_replace("__letters", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
-        F.size(F.filter("__words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     n = F.size("__hashes")
     at = lambda i: F.xxhash64(*(F.get("__hashes", i + k) for k in range(WINDOW)))
