@@ -1,19 +1,23 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are linked if their edit distance is at most RULE.allowed(characters of the shorter one): an edit for each `chars`
-characters, `edits` at most. Any numbers can be asked for; the default is one edit, for with two allowed, every two of m
-copies with an edit each are linked, and a line's number of links grows with the group (README).
+Lines are linked if their edit distance is at most RULE.allowed(characters of the shorter one): one edit from `chars`
+characters on, and one for each `each` characters however long the line is, so a changed word of a long line is linked.
+Any numbers can be asked for.
 
 With at most e edits, one of e + 1 segments of the shorter line, number i, stands unchanged in the longer, with exactly i
-edits before it and so moved by i places at most. Lines are filed under the segments that bands of lengths prescribe;
-they probe, by substrings at the places that a longer line may have them, the bands of their own and shorter lengths.
-Candidates are verified by a banded bit-parallel edit distance. Linked lines make classes; the first line of a class, by
-document and place, stays.
+edits before it and e - i after it at most; so it is moved by i places at most from the start, or by e - i from the end:
+segments of the first half are placed from the start, others from the end. Lines are filed under the segments that bands
+of lengths prescribe; they probe, by substrings at the places that a longer line may have them, the bands of their own
+and shorter lengths. Where a segment may move by many places, s pieces of it, a place apart each, are filed, and every
+s-th place is probed. Candidates are verified along the diagonals that few edits reach. Linked lines make classes; the
+first line of a class, by document and place, stays.
 
 Equal lines are one node, so a line that stands in a third of all documents is compared once. Where a segment is shared by
-over RULE.hot lines, what stands after it is partitioned again under that key, with the edits that are left for it, and then
-what stood before it, and so on until what is left is no longer than the edits allowed: so lines that share a template
-form pairs in proportion to their links, and none is lost. A task that meets a hot key itself deals out its rows evenly.
+over RULE.hot lines and DEEPEST edits are allowed at most, what stands after it is partitioned again under that key, with
+the edits that are left for it, and then what stood before it, and so on until what is left is no longer than the edits
+allowed: so lines that share a template form pairs in proportion to their links, and none is lost. A task that meets a hot
+key itself deals out its rows evenly. With more edits the ways to spend them are too many for that: all lines of a hot key
+are compared in blocks of BLOCK, each pair once, whatever number of keys it shares.
 Keys are hashes that only choose candidates; lines are told apart by 128 bits.
 
 Defined cases: a null or empty text has no lines to remove; a null doc_id sorts first; rows equal in doc_id and text are
@@ -26,7 +30,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 from itertools import pairwise
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,27 +46,28 @@ from .shingles import _powers, by_bytes, mix
 
 INDEX, PROBE, LEAF, SPREAD = 1, 2, 4, 8  # bits of a role
 WORD = r"[^\x20\x09-\x0D]"
+DEEPEST = 2  # edits up to which a hot key is partitioned further
+CUTS = (480, 768, 1152, 2304)  # lengths at which a pass over the lines ends, so that the keys of a part of them are shuffled at once
+BLOCK = 256  # lines of a hot key with more edits that are compared with as many at once
 
 
 @dataclass(frozen=True)
 class Rule:
     chars: int = 24
     edits: int = 1
-    hot: int = 40  # members of a key beyond which it is partitioned further
+    hot: int = 40  # members of a key beyond which it is partitioned further, or compared in blocks
+    each: int = 48
 
     def allowed(self, n: int) -> int:
-        return min(self.edits, n // self.chars)
+        """An edit for each `chars` characters up to `edits` of them, and one for each `each` characters without an end."""
+        return max(min(self.edits, n // self.chars), n // self.each)
 
 
 RULE = Rule()
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: common ends are cut off, then Myers' bit vectors run on a band.
-
-    Bit i of the vectors stands for row column - most + i of the dynamic program, so 2 * most + 1 bits do for any length;
-    the score is followed along the band's last diagonal.
-    """
+    """Whether the edit distance is at most `most`: common ends are cut off, then diagonals are followed."""
     if abs(len(a) - len(b)) > most:
         return False
     if a == b:
@@ -88,33 +95,50 @@ def within(a: str, b: str, most: int) -> bool:
         return max(len(a), len(b)) <= most
     if len(a) < len(b):
         a, b = b, a
-    return banded(a, b, most)
-
-
-def banded(a: str, b: str, most: int) -> bool:
-    """len(a) >= len(b) >= 1. Characters of b are columns; bit i of column j stands for row j - most + i of a."""
-    rows, width = len(a), 2 * most + 1
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    up, down = full & ~((1 << most) - 1), 0
-    score, limit = min(rows, most), 2 * most + len(b) - rows
-    last = 1 << (min(rows, most) + most - 1)  # the bit of the last row, once the band has reached it
-    for j, c in enumerate(b):
-        match = 0
-        for i in range(max(0, most - j), min(width, rows - j + most)):
-            if a[j - most + i] == c:
-                match |= 1 << i
-        x = ((((match & up) + up) ^ up) | match | down) & full
-        right_up, right_down = (down | ~(x | up)) & full, x & up
-        if j < rows - most:
-            score += not x & top
+    return diagonals(a, b, most)
+
+
+def _same(a: str, i: int, b: str, j: int) -> int:
+    """Length of the longest common prefix of a[i:] and b[j:]."""
+    n, at, step = min(len(a) - i, len(b) - j), 0, 8
+    while at < n and a[i + at : i + at + step] == b[j + at : j + at + step]:
+        at, step = at + step, 2 * step
+    if at >= n:
+        return n
+    high = min(step, n - at)  # it ends within so many characters
+    low = 0
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[i + at : i + at + mid] == b[j + at : j + at + mid]:
+            low = mid
         else:
-            score += bool(right_up & last) - bool(right_down & last)
-            last >>= 1
-        if score > limit:
-            return False
-        x >>= 1
-        up, down = (right_down | ~(x | right_up)) & full, x & right_up
-    return score <= most
+            high = mid - 1
+    return at + low
+
+
+def diagonals(a: str, b: str, most: int) -> bool:
+    """len(a) >= len(b). With d edits, far[k] is the furthest place of a that is reached on the diagonal place in a - place
+    in b = k (Landau and Vishkin); only diagonals that can still come back to the last one are followed."""
+    m, n = len(a), len(b)
+    goal = m - n
+    far: dict[int, int] = {}
+    for d in range(most + 1):
+        now: dict[int, int] = {}
+        for k in range(max(-d, goal - most + d), min(d, goal + most - d) + 1):
+            if d:
+                i = max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -2))
+                if i < max(0, k):
+                    continue
+                i = min(i, m, n + k)
+            else:
+                i = 0
+            if i < m and i - k < n and a[i] == b[i - k]:
+                i += _same(a, i, b, i - k)
+            now[k] = i
+        if now.get(goal, -1) >= m:
+            return True
+        far = now
+    return False
 
 
 def document_key() -> Column:
@@ -135,57 +159,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def bands(most: int, allowed: Callable[[int], int], least: int, grow: float = 1.5) -> list[int]:
-    """Lower bounds of bands of lengths from `least` to `most`, each with one number of edits; lengths of a band differ by
-    `grow` at most."""
+    """Lower bounds of bands of lengths from `least` to `most`, each with one number of edits, or from 16 edits on with
+    numbers that differ by a sixteenth at most; lengths of a band differ by `grow` at most."""
     found = [least]
     while found[-1] <= most:
         low = found[-1]
         high = max(low + 1, int(low * grow))
-        if allowed(high - 1) != allowed(low):
+        same = allowed(low) + allowed(low) // 16
+        if allowed(high - 1) > same:
             a, b = low, high - 1  # the first length of more edits, by halving
             while b - a > 1:
                 mid = (a + b) // 2
-                a, b = (mid, b) if allowed(mid) == allowed(low) else (a, mid)
+                a, b = (mid, b) if allowed(mid) <= same else (a, mid)
             high = b
         found.append(high)
     return found
 
 
-def first_keys(lines: list[str], rule: Rule) -> list[np.ndarray]:
+@lru_cache(4096)
+def _plan(low: int, edits: int) -> np.ndarray:
+    """Rows of segment, whether placed from the end, place, size, whether filed, whether probed."""
+    size, rows = low // (edits + 1), []
+    for i in range(edits + 1):
+        moves = min(i, edits - i)
+        s = max(1, min(isqrt(2 * moves), size // 4))
+        end = i > edits - i
+        place = (i - edits - 1) * size if end else i * size
+        for off in sorted({*range(s), *range(-(moves // s) * s, -(-moves // s) * s + 1, s)}):
+            rows.append((i, end, place + off, size - s + 1, 0 <= off < s, off % s == 0))
+    return np.array(rows, np.int64).T
+
+
+def first_keys(lines: list[str], rule: Rule, least: int = 0, end: int | None = None) -> list[np.ndarray]:
     """Number in `lines`, key, role, at, size, left, total: the segments and probes of whole lines. `left` of the `total`
-    edits of a band are left for what follows the segment at at..at + size."""
+    edits of a band are left for what follows the segment at at..at + size. Bands are those that begin in least..end - 1."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = np.array([len(x) for x in lines], np.int64)
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     power, inverse = _powers(len(codes) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[: len(codes)])])
 
-    def hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))
-
     bounds = np.array(bands(int(n.max(initial=0)), rule.allowed, rule.chars))
+    total = np.array([rule.allowed(b - 1) for b in bounds[1:].tolist()] + [0])  # the most in a band
     own = np.searchsorted(bounds, n, "right") - 1
-    most = np.array([rule.allowed(b) for b in bounds.tolist()])[np.maximum(own, 0)]
-    lowest = np.searchsorted(bounds, n - most, "right") - 1
+    lowest = np.searchsorted(bounds, n - total[np.maximum(own, 0)], "right") - 1
     out: list[list[np.ndarray]] = [[] for _ in range(7)]
     for band in np.unique(own[own >= 0]).tolist():
-        for b in range(int(lowest[own == band].min(initial=band)), band + 1):
-            if b < 0:
+        for b in range(max(0, int(lowest[own == band].min())), band + 1):
+            if bounds[b] < least or end is not None and bounds[b] >= end:
                 continue
             rows = np.flatnonzero((own == band) & (lowest <= b))
-            edits = rule.allowed(int(bounds[b]))
-            size = int(bounds[b]) // (edits + 1)
-            for i in range(edits + 1):
-                for move in range(-i, i + 1):
-                    at = i * size + move
-                    who = rows[(at >= 0) & (at + size <= n[rows])]
-                    low = start[who] + at
-                    key = hashed(low, low + size) ^ mix(np.full(len(who), (int(bounds[b]) << 24) + i, np.uint64))
-                    if i == edits:  # no edit is left: all that follows is the same
-                        key = mix(key) ^ hashed(low + size, start[who] + n[who])
-                    role = INDEX + PROBE if b == band and not move else PROBE
-                    for column, value in zip(out, (who, key.view(np.int64), np.full(len(who), role), np.full(len(who), at), np.full(len(who), size), np.full(len(who), edits - i), np.full(len(who), edits)), strict=True):
-                        column.append(value)
+            edits = int(total[b])
+            segment, behind, place, size, filed, probed = _plan(int(bounds[b]), edits)
+            role = filed * INDEX * (b == band) + probed * PROBE
+            at = behind * n[rows][:, None] + place
+            r, c = np.nonzero((at >= 0) & (at + size <= n[rows][:, None]) & (role > 0))
+            who, at, size = rows[r], at[r, c], size[c]
+            low = start[who] + at
+            key = mix((sums[low + size] - sums[low]) * inverse[low] + size.astype(np.uint64)) ^ mix(((int(bounds[b]) << 24) + segment[c]).astype(np.uint64))
+            for column, value in zip(out, (who, key.view(np.int64), role[c], at, size, edits - segment[c], np.full(len(who), edits)), strict=True):
+                column.append(value)
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
 
 
@@ -245,18 +278,23 @@ def _packed(hot: int, node: np.ndarray, key: np.ndarray, role: np.ndarray, at: n
     spread = (np.arange(len(order)) - np.repeat(start, count) > hot) & np.repeat(role[order[start]] & INDEX > 0, count)
     role = role.astype(np.int64)
     role[order[spread & (role[order] & LEAF == 0)]] |= SPREAD
-    return [node, key, at.astype(np.int64) << 32 | size, total.astype(np.int64) << 34 | left.astype(np.int64) << 4 | role]
+    place = np.where(total > DEEPEST, 0, at.astype(np.int64) << 32 | size)  # of keys that are partitioned further
+    return [node, key, place, total.astype(np.int64) << 34 | left.astype(np.int64) << 4 | role]
 
 
-def _first_level(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """LEVEL of nodes(node, line)."""
+def _first_level(nodes: DataFrame, rule: Rule, least: int = 0, end: int | None = None) -> DataFrame:
+    """LEVEL of nodes(node, line), of the bands that begin in least..end - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in by_bytes(batch, "line", 4096, 1 << 20)):
-            who, *columns = first_keys(part.column("line").to_pylist(), rule)
+            who, *columns = first_keys(part.column("line").to_pylist(), rule, least, end)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _packed(rule.hot, part.column("node").to_numpy()[who], *columns)], ["node", "key", "place", "state"])
 
-    return nodes.where(F.length("line") >= rule.chars).select("node", "line").mapInArrow(run, LEVEL)
+    n = F.length("line")
+    lines = nodes.where(n >= max(rule.chars, least))
+    if end is not None:  # a band that begins below `end` ends below twice that
+        lines = lines.where(n < 2 * end + rule.allowed(2 * end))
+    return lines.select("node", "line").mapInArrow(run, LEVEL)
 
 
 def _next_level(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -344,14 +382,65 @@ def _met(level: DataFrame, rule: Rule) -> DataFrame:
     return ordered.select(*names).mapInArrow(run, f"{DEEP if 'rest' in names else LEVEL}, a long, b long")
 
 
-def candidates(nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """nodes(node, line), a written table -> (a, b), every pair of lines with a common key under no hot key."""
-    met = store.written(_met(_first_level(nodes, rule), rule), "line-met")
-    found, first = met.where("a IS NOT NULL").select("a", "b"), True
+def _blocks(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """LEVEL of hot keys -> key, i, j, node, line, mine, filed, filed_keys, keys: each line of a key, of a block `mine`, once
+    for every two blocks i <= j that it is compared in."""
+    of = hot.groupBy("node", "key").agg(F.max(F.col("state").bitwiseAND(F.lit(INDEX).cast("long")) > 0).alias("filed"))
+    of = store.written(of, "line-hot")
+    size = of.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = of.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("filed"), F.col("key"))).alias("filed_keys"))
+    of = of.join(size, "key").join(own, "node").join(nodes.select("node", "line"), "node")
+    of = of.withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return of.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "line", "mine", "filed", "filed_keys", "keys")
+
+
+def _linked_blocks(hot: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """LEVEL of hot keys -> links (a, b), each under the smallest key that its lines share."""
+
+    def links(group: list[tuple]) -> pa.RecordBatch:
+        key, i, j = group[0][:3]
+        members = [(node, line, mine, filed, frozenset(filed_keys), frozenset(keys)) for _, _, _, node, line, mine, filed, filed_keys, keys in group]
+        left, right = [x for x in members if x[2] == i], [x for x in members if x[2] == j]
+        a, b = [], []
+        for n, (x, line, _, filed, fx, kx) in enumerate(left):
+            for y, other, _, probed, fy, ky in left[:n] if i == j else right:
+                if not (filed or probed):
+                    continue
+                most = rule.allowed(min(len(line), len(other)))
+                if abs(len(line) - len(other)) <= most and min((fx & ky) | (kx & fy)) == key and within(line, other, most):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for part in (p for batch in batches for p in by_bytes(batch, "line", 1024, 1 << 20)):
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return _blocks(hot, nodes).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _found(nodes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of lines with a common key under no hot key, and links found under hot keys of many edits, if there are any."""
+    longest = nodes.agg(F.max(F.length("line"))).first()[0] or 0
+    cuts = [0, *(c for c in CUTS if c <= longest), None]
+    passes = [store.written(_met(_first_level(nodes, rule, low, high), rule), "line-met") for low, high in pairwise(cuts)]
+    met, links, first = reduce(DataFrame.unionByName, passes), None, True
+    found = met.where("a IS NOT NULL").select("a", "b")
+    many = F.shiftright("state", 34) > DEEPEST
+    if not met.where("a IS NULL").where(many).isEmpty():
+        links = store.written(_linked_blocks(met.where("a IS NULL").where(many), nodes, rule), "line-links")
+    met = met.where(F.col("a").isNotNull() | ~many)
     while True:
         hot = met.where("a IS NULL").drop("a", "b")
         if hot.isEmpty():
-            return found.distinct()
+            return found.distinct(), links
         if first:
             hot = hot.join(nodes.select("node", F.col("line").alias("rest")), "node").withColumn("saved", F.lit(""))
             first = False
@@ -359,6 +448,12 @@ def candidates(nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
         found = found.unionByName(met.where("a IS NOT NULL").select("a", "b"))
 
 
+def candidates(nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """nodes(node, line), a written table -> (a, b), every pair of lines that may be linked."""
+    pairs, links = _found(nodes, rule)
+    return pairs if links is None else pairs.unionByName(links).distinct()
+
+
 def verify(pairs: DataFrame, rule: Rule) -> DataFrame:
     """pairs(a, b, line_a, line_b) -> those that are linked."""
 
@@ -373,8 +468,10 @@ def verify(pairs: DataFrame, rule: Rule) -> DataFrame:
 def links_of(nodes: DataFrame, rule: Rule) -> DataFrame:
     """nodes(node, line), a written table of distinct lines -> links (a, b)."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
-    joined = candidates(nodes, rule).join(of("a"), "a").join(of("b"), "b")
-    return store.written(verify(joined.select("a", "b", "line_a", "line_b"), rule), "line-links")
+    pairs, links = _found(nodes, rule)
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    told = verify(joined.select("a", "b", "line_a", "line_b"), rule)
+    return store.written(told if links is None else told.unionByName(links).distinct(), "line-links")
 
 
 def line_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
