@@ -16,8 +16,10 @@ Equal lines are one node, so a line that stands in a third of all documents is c
 over RULE.hot lines and DEEPEST edits are allowed at most, what stands after it is partitioned again under that key, with
 the edits that are left for it, and then what stood before it, and so on until what is left is no longer than the edits
 allowed: so lines that share a template form pairs in proportion to their links, and none is lost. A task that meets a hot
-key itself deals out its rows evenly. With more edits the ways to spend them are too many for that: all lines of a hot key
-are compared in blocks of BLOCK, each pair once, whatever number of keys it shares.
+key itself deals out its rows evenly. With more edits the ways to spend them are too many for that (two make thousands of rows
+a line): lines that a chain of such hot keys holds together are a group. All lines of a group are compared in blocks of
+BLOCK, each pair once, whatever number of keys it shares: by their lengths, by how often they have which characters, and
+along diagonals. Links within a group are counted where they are found, and a block gives a row a line, not a row a link.
 Keys are hashes that only choose candidates; lines are told apart by 128 bits.
 
 Defined cases: a null or empty text has no lines to remove; a null doc_id sorts first; rows equal in doc_id and text are
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from itertools import pairwise
-from math import isqrt
+from math import isqrt, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,9 @@ from .shingles import _powers, by_bytes, mix
 INDEX, PROBE, LEAF, SPREAD = 1, 2, 4, 8  # bits of a role
 WORD = r"[^\x20\x09-\x0D]"
 DEEPEST = 2  # edits up to which a hot key is partitioned further
+TALLY, GRAMS = 64, 256  # kinds of characters, and of three in a row, that are counted before lines are compared
 CUTS = (480, 768, 1152, 2304)  # lengths at which a pass over the lines ends, so that the keys of a part of them are shuffled at once
-BLOCK = 256  # lines of a hot key with more edits that are compared with as many at once
+BLOCK = 512  # lines of a group that are compared with as many at once
 
 
 @dataclass(frozen=True)
@@ -263,14 +266,14 @@ def further_keys(key: int, role: int, rest: str, saved: str, left: int, total: i
             yield _key(key, "l"), leaf | LEAF, rest, saved, 0, 0, left, total
 
 
-#: place: at << 32 | size; state: total << 34 | left << 4 | role. Few and plain columns, for there are many rows.
+#: place: at << 32 | size, or of many edits a line of the same hot key; state: total << 34 | left << 4 | role. Few and plain columns, for there are many rows.
 LEVEL = "node long, key long, place long, state long"
 DEEP = f"{LEVEL}, rest string, saved string"
 
 
 def _packed(hot: int, node: np.ndarray, key: np.ndarray, role: np.ndarray, at: np.ndarray, size: np.ndarray, left: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
     """LEVEL's columns. Rows beyond the first hot + 1 of a key that is hot in these rows alone, and under which some line
-    is filed, get SPREAD."""
+    is filed, get SPREAD; those of many edits name the first of them in `place`, and only one of equal ones stays."""
     order = np.lexsort(((role & INDEX) == 0, key))
     ordered = key[order]
     start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
@@ -279,7 +282,12 @@ def _packed(hot: int, node: np.ndarray, key: np.ndarray, role: np.ndarray, at: n
     role = role.astype(np.int64)
     role[order[spread & (role[order] & LEAF == 0)]] |= SPREAD
     place = np.where(total > DEEPEST, 0, at.astype(np.int64) << 32 | size)  # of keys that are partitioned further
-    return [node, key, place, total.astype(np.int64) << 34 | left.astype(np.int64) << 4 | role]
+    grouped = order[spread & (total[order] > DEEPEST)]
+    place[grouped] = node[np.repeat(order[start], count)[spread & (total[order] > DEEPEST)]]
+    keep = np.ones(len(key), bool)
+    keep[grouped] = False
+    keep[grouped[np.unique(np.stack([node[grouped], place[grouped]]), axis=1, return_index=True)[1]]] = True
+    return [c[keep] for c in (node, key, place, total.astype(np.int64) << 34 | left.astype(np.int64) << 4 | role)]
 
 
 def _first_level(nodes: DataFrame, rule: Rule, least: int = 0, end: int | None = None) -> DataFrame:
@@ -322,6 +330,12 @@ def _crossed(node: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[meet], b[meet]
 
 
+def _headed(rows: pa.Table, head: np.ndarray) -> pa.Table:
+    """rows with `head` for place, where many edits are allowed."""
+    place = np.where(rows.column("state").to_numpy() >> 34 > DEEPEST, head, rows.column("place").to_numpy())
+    return rows.set_column(rows.schema.get_field_index("place"), rows.schema.field("place"), pa.chunked_array([pa.array(place, pa.int64())]))
+
+
 class _Runs:
     """Rows in order of keys, filed ones first, a batch at a time -> pairs of cool keys and leaves, and rows of hot ones."""
 
@@ -329,12 +343,13 @@ class _Runs:
         self.most = hot
         self.held: pa.Table | None = None  # the last rows, of one key that isn't hot as yet
         self.over: int | None = None  # the last key, if its other rows are hot, or are dropped
+        self.head = 0  # its first line
         self.drop = False
 
     def meet(self, rows: pa.Table, last: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], pa.Table]:
         spread = rows.column("state").to_numpy() & SPREAD > 0
         over = rows.column("key").to_numpy() == self.over if self.over is not None else np.zeros(len(rows), bool)
-        passed = rows.filter(pa.array(spread | over & (not self.drop)))
+        passed = _headed(rows, np.where(over & ~spread, self.head, rows.column("place").to_numpy())).filter(pa.array(spread | over & (not self.drop)))
         rest = rows.filter(pa.array(~spread & ~over))
         if self.held is not None:
             rest, self.held = pa.concat_tables([self.held, rest]), None
@@ -345,13 +360,14 @@ class _Runs:
         hot, done = (count > self.most) & filed & ~leaf, np.ones(len(start), bool)
         if len(start) and not last:
             self.over, self.drop = (int(key[-1]), not filed[-1]) if hot[-1] or not filed[-1] else (None, False)
+            self.head = int(node[start[-1]])
             if self.over is None:
                 done[-1], self.held = False, rest.slice(int(start[-1]))
         pairs, cool = [], done & filed & ~hot & (count > 1)
         for c in np.unique(count[cool]).tolist():
             at, step = start[cool & (count == c)][:, None] + np.arange(c), max(1, (1 << 20) // (c * c))
             pairs += [_crossed(node[at[k : k + step]], role[at[k : k + step]]) for k in range(0, len(at), step)]
-        return pairs, pa.concat_tables([passed, rest.filter(pa.array(np.repeat(hot & done, count)))])
+        return pairs, pa.concat_tables([passed, _headed(rest, np.repeat(node[start], count)).filter(pa.array(np.repeat(hot & done, count)))])
 
 
 def _met(level: DataFrame, rule: Rule) -> DataFrame:
@@ -378,80 +394,199 @@ def _met(level: DataFrame, rule: Rule) -> DataFrame:
             yield from found(schema.empty_table(), True)
 
     dealt = level.withColumn("salt", F.when(F.col("state").bitwiseAND(F.lit(SPREAD).cast("long")) > 0, F.col("node")))
-    ordered = dealt.repartition("key", "salt").sortWithinPartitions("key", F.col("state").bitwiseAND(F.lit(INDEX).cast("long")).desc())
+    ordered = dealt.repartition("key", "salt").sortWithinPartitions("key", F.col("state").bitwiseAND(F.lit(INDEX).cast("long")).desc(), "node")
     return ordered.select(*names).mapInArrow(run, f"{DEEP if 'rest' in names else LEVEL}, a long, b long")
 
 
-def _blocks(hot: DataFrame, nodes: DataFrame) -> DataFrame:
-    """LEVEL of hot keys -> key, i, j, node, line, mine, filed, filed_keys, keys: each line of a key, of a block `mine`, once
-    for every two blocks i <= j that it is compared in."""
-    of = hot.groupBy("node", "key").agg(F.max(F.col("state").bitwiseAND(F.lit(INDEX).cast("long")) > 0).alias("filed"))
-    of = store.written(of, "line-hot")
-    size = of.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    own = of.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("filed"), F.col("key"))).alias("filed_keys"))
-    of = of.join(size, "key").join(own, "node").join(nodes.select("node", "line"), "node")
-    of = of.withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return of.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "line", "mine", "filed", "filed_keys", "keys")
-
-
-def _linked_blocks(hot: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """LEVEL of hot keys -> links (a, b), each under the smallest key that its lines share."""
-
-    def links(group: list[tuple]) -> pa.RecordBatch:
-        key, i, j = group[0][:3]
-        members = [(node, line, mine, filed, frozenset(filed_keys), frozenset(keys)) for _, _, _, node, line, mine, filed, filed_keys, keys in group]
-        left, right = [x for x in members if x[2] == i], [x for x in members if x[2] == j]
-        a, b = [], []
-        for n, (x, line, _, filed, fx, kx) in enumerate(left):
-            for y, other, _, probed, fy, ky in left[:n] if i == j else right:
-                if not (filed or probed):
-                    continue
-                most = rule.allowed(min(len(line), len(other)))
-                if abs(len(line) - len(other)) <= most and min((fx & ky) | (kx & fy)) == key and within(line, other, most):
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _groups(hot: DataFrame) -> DataFrame:
+    """LEVEL of hot keys -> group, node: lines are of one group if a chain of hot keys leads from one to the other.
+
+    Each line of a hot key names one of it, mostly the one of the lowest number: a line of many hot keys names few."""
+    heads = hot.groupBy("node").agg(F.array_sort(F.collect_set("place")).alias("heads"))  # as many as the line has hot keys
+    to_first = F.transform("heads", lambda h, i: F.struct(F.when(i == 0, F.col("node")).otherwise(h).alias("a"), F.col("heads")[0].alias("b")))
+    chains = components(heads.select(F.explode(to_first).alias("x")).select("x.*").distinct(), "line-stars")
+    return store.written(chains.select(F.col("component").alias("group"), "node"), "line-groups")
+
+
+def _blocks(groups: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """group, low, high, i, j, node, line, mine: each line once for every two blocks that it is compared in. Blocks are of
+    a group's lines of similar length; lines of one length are linked to such of it or the next one only."""
+    step = log1p(1 / min(rule.chars, rule.each)) * (1 + 1e-9)  # allowed(n) <= n / min(chars, each); more than rounding adds
+    of = groups.join(nodes.select("node", "line"), "node").withColumn("at", F.floor(F.log(F.length("line").cast("double")) / step))
+    of = store.written(of, "line-grouped")
+    size = of.groupBy("group", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    near = size.select("group", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"), F.struct(F.col("at").alias("of"), "blocks").alias("with"))
+    near = near.groupBy("group", "at").agg(F.collect_list("with").alias("with"))  # three at most
+    own = F.filter("with", lambda w: w["of"] == F.col("at"))[0]["blocks"]
+    of = of.join(near, ["group", "at"]).withColumn("mine", F.pmod(F.xxhash64("node"), own)).select("group", "at", "node", "line", "mine", F.explode("with").alias("w"))
+    of = of.select("group", "at", "node", "line", "mine", F.col("w.of").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("w.blocks") - 1)).alias("other"))
+    first = (F.col("at") < F.col("of")) | (F.col("at") == F.col("of")) & (F.col("mine") <= F.col("other"))
+    i, j = F.when(first, F.col("mine")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("mine"))
+    return of.select("group", F.least("at", "of").alias("low"), F.greatest("at", "of").alias("high"), i.alias("i"), j.alias("j"), "node", "line", ((F.col("at") == F.least("at", "of")) & (F.col("mine") == i)).alias("left"))
+
+
+def _packed_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Start and length of each line, and from each place on as many characters as go into 64 bits, of so many bits each."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, codes = np.unique(codes, return_inverse=True)
+    bits = max(1, int(len(known)).bit_length())
+    codes = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(64, np.uint64)])
+    words = np.zeros(len(codes) - 64 + 1, np.uint64)
+    for t in range(64 // bits):
+        words |= codes[t : t + len(words)] << np.uint64(t * bits)
+    n = np.array([len(x) for x in lines], np.int64)
+    return np.cumsum(n) - n, n, words, bits
+
+
+def _run(words: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lengths, `most` at most, of the longest common prefixes of what begins at a and at b."""
+    per, out, rows = 64 // bits, most.copy(), np.flatnonzero(most > 0)
+    place = (np.arange(66) - 1) // bits
+    a, b, at = a[rows], b[rows], 0
+    while len(rows):
+        other = words[a + at] ^ words[b + at]
+        differ = other != 0
+        low = other[differ]
+        ends = place[np.frexp((low & (~low + np.uint64(1))).astype(np.float64))[1]] + at
+        out[rows[differ]] = np.minimum(out[rows[differ]], ends)
+        at += per
+        more = ~differ & (out[rows] > at)
+        rows, a, b = rows[more], a[more], b[more]
+    return out
+
+
+def all_within(start: np.ndarray, n: np.ndarray, words: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """within() of many pairs a, b of lines at once: each step of diagonals() is one of all pairs that are still open."""
+    told = np.zeros(len(a), bool)
+    swap = n[a] < n[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    rows = np.flatnonzero(n[a] - n[b] <= most)
+    a, b, most = a[rows], b[rows], most[rows]
+    far, wide = np.full((1, len(rows)), -2, np.int64), 0
+    for d in range(int(most.max(initial=-1)) + 1):
+        m, k_goal = n[a], n[a] - n[b]
+        now = np.full((2 * d + 3, len(rows)), -2, np.int64)  # diagonals -d - 1 to d + 1
+        for k in range(-d, d + 1):
+            own = np.flatnonzero((k >= k_goal - most + d) & (k <= k_goal + most - d))
+            if d:
+                before = [far[k + x + wide, own] if -wide <= k + x <= wide else np.full(len(own), -2) for x in (0, -1, 1)]
+                i = np.maximum(np.maximum(before[0] + 1, before[1] + 1), before[2])
+                some = i >= max(0, k)
+                own, i = own[some], i[some]
+                i = np.minimum(np.minimum(i, m[own]), n[b[own]] + k)
+            else:
+                i = np.zeros(len(own), np.int64)
+            x, y = a[own], b[own]
+            now[k + d + 1, own] = i + _run(words, bits, start[x] + i, start[y] + i - k, np.minimum(n[x] - i, n[y] - i + k))
+        goal = now[np.clip(k_goal + d + 1, 0, 2 * d + 2), np.arange(len(rows))]
+        done = (k_goal <= d) & (goal >= m)
+        told[rows[done]] = True
+        keep = ~done & (most > d)
+        rows, a, b, most, far, wide = rows[keep], a[keep], b[keep], most[keep], now[:, keep], d + 1
+    return told
+
+
+def _linked_among(lines: list[str], left: np.ndarray, right: np.ndarray | None, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in `lines` of the linked pairs of a line of `left` and one of `right`, or of two of `left`."""
+    start, n, words, bits = _packed_lines(lines)
+    most = np.array([rule.allowed(x) for x in n.tolist()], np.int64)
+    codes, of = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.repeat(np.arange(len(lines)), n)
+    tally = np.bincount(of * TALLY + (codes % np.uint64(TALLY)).astype(np.int64), minlength=len(lines) * TALLY)
+    tally = np.ascontiguousarray(tally.reshape(-1, TALLY).T.astype(np.int32))
+    three = mix(codes[:-2] + (codes[1:-1] << np.uint64(21)) + (codes[2:] << np.uint64(42))) % np.uint64(GRAMS)
+    whole = of[:-2] == of[2:]
+    grams = np.bincount(of[:-2][whole] * GRAMS + three[whole].astype(np.int64), minlength=len(lines) * GRAMS).reshape(-1, GRAMS).astype(np.int32)
+    columns, found = left if right is None else right, []
+    for k in range(0, len(left), 64):
+        x = left[k : k + 64, None]
+        allowed = np.minimum(most[x], most[columns])  # it never falls with the length
+        open_ = (np.abs(n[x] - n[columns]) <= allowed) & (x != columns)
+        if right is None:
+            open_ &= np.arange(k, k + len(x))[:, None] < np.arange(len(columns))
+        if open_.any():
+            apart = np.zeros(open_.shape, np.int32)  # an edit changes two counts by one at most
+            for one in tally:
+                apart += np.abs(one[x] - one[columns])
+            a, b = np.nonzero(open_ & (apart <= 2 * allowed))
+            a, b, limit = x[a, 0], columns[b], allowed[a, b]
+            near = np.abs(grams[a] - grams[b]).sum(axis=1) <= 6 * limit  # it takes away three and adds three
+            found.append((a[near], b[near], limit[near]))
+    a, b, limit = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+    step = max(1, (1 << 22) // (2 * int(limit.max(initial=0)) + 3))  # so that diagonals stay small
+    same = np.concatenate([all_within(start, n, words, bits, a[k : k + step], b[k : k + step], limit[k : k + step]) for k in range(0, len(a) or 1, step)])
+    return a[same], b[same]
+
+
+def _compared(groups: DataFrame, nodes: DataFrame, rule: Rule, pairs: bool) -> DataFrame:
+    """Links (a, b) of lines of one group; or, not `pairs`, for each line and two blocks a row (node, head, n): its n links
+    there, and the smallest node that these lead to, so that rows are in proportion to the lines of a block, not to links."""
+    names, types = (["a", "b"], "a long, b long") if pairs else (["node", "head", "n"], "node long, head long, n long")
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        node, lines = np.array([r[5] for r in rows], np.int64), [r[6] for r in rows]
+        mine = np.array([r[7] for r in rows], bool)
+        a, b = _linked_among(lines, np.flatnonzero(mine), None if mine.all() else np.flatnonzero(~mine), rule)
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names)
+        head = node.copy()
+        while True:  # a step takes each line to the smallest that its links lead to, and on to where that one leads
+            least = head.copy()
+            np.minimum.at(least, a, head[b])
+            np.minimum.at(least, b, head[a])
+            if (least == head).all():
+                break
+            head = least
+        some = np.flatnonzero(n := np.bincount(np.concatenate([a, b]), minlength=len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(head[some]), pa.array(n[some].astype(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for part in (p for batch in batches for p in by_bytes(batch, "line", 1024, 1 << 20)):
             for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield links(held)
+                if held and held[0][:5] != row[:5]:
+                    yield told(held)
                     held = []
                 held.append(row)
         if held:
-            yield links(held)
+            yield told(held)
 
-    return _blocks(hot, nodes).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    place = ["group", "low", "high", "i", "j"]
+    return _blocks(groups, nodes, rule).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, types)
 
 
 def _found(nodes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of lines with a common key under no hot key, and links found under hot keys of many edits, if there are any."""
+    """Pairs of lines with a common key, and the groups of lines that hot keys of many edits hold together, if there are
+    any; all lines of a group are still to be compared, and no pair is of two lines of one."""
     longest = nodes.agg(F.max(F.length("line"))).first()[0] or 0
     cuts = [0, *(c for c in CUTS if c <= longest), None]
     passes = [store.written(_met(_first_level(nodes, rule, low, high), rule), "line-met") for low, high in pairwise(cuts)]
-    met, links, first = reduce(DataFrame.unionByName, passes), None, True
+    met, groups, first = reduce(DataFrame.unionByName, passes), None, True
     found = met.where("a IS NOT NULL").select("a", "b")
     many = F.shiftright("state", 34) > DEEPEST
     if not met.where("a IS NULL").where(many).isEmpty():
-        links = store.written(_linked_blocks(met.where("a IS NULL").where(many), nodes, rule), "line-links")
+        groups = _groups(met.where("a IS NULL").where(many))
     met = met.where(F.col("a").isNotNull() | ~many)
     while True:
         hot = met.where("a IS NULL").drop("a", "b")
         if hot.isEmpty():
-            return found.distinct(), links
+            break
         if first:
             hot = hot.join(nodes.select("node", F.col("line").alias("rest")), "node").withColumn("saved", F.lit(""))
             first = False
         met = store.written(_met(_next_level(hot.select("node", "key", "place", "state", "rest", "saved"), rule), rule), "line-met")
         found = found.unionByName(met.where("a IS NOT NULL").select("a", "b"))
+    found = found.distinct()
+    if groups is not None:
+        for side in ("a", "b"):
+            found = found.join(groups.select(F.col("node").alias(side), F.col("group").alias(f"group_{side}")), side, "left")
+        found = found.where(F.col("group_a").isNull() | F.col("group_b").isNull() | (F.col("group_a") != F.col("group_b"))).select("a", "b")
+    return found, groups
 
 
 def candidates(nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
     """nodes(node, line), a written table -> (a, b), every pair of lines that may be linked."""
-    pairs, links = _found(nodes, rule)
-    return pairs if links is None else pairs.unionByName(links).distinct()
+    pairs, groups = _found(nodes, rule)
+    return pairs if groups is None else pairs.unionByName(_compared(groups, nodes, rule, True))
 
 
 def verify(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -465,13 +600,29 @@ def verify(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
+    return verify(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "line_a", "line_b"), rule)
+
+
 def links_of(nodes: DataFrame, rule: Rule) -> DataFrame:
     """nodes(node, line), a written table of distinct lines -> links (a, b)."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
-    pairs, links = _found(nodes, rule)
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    told = verify(joined.select("a", "b", "line_a", "line_b"), rule)
-    return store.written(told if links is None else told.unionByName(links).distinct(), "line-links")
+    pairs, groups = _found(nodes, rule)
+    told = _verified(pairs, nodes, rule)
+    return store.written(told if groups is None else told.unionByName(_compared(groups, nodes, rule, True)), "line-links")
+
+
+def linked_nodes(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """nodes(node, line), a written table of distinct lines -> (node, component, n_links) of those that have links; links
+    within a group are counted where they are found, not listed."""
+    pairs, groups = _found(nodes, rule)
+    links = store.written(_verified(pairs, nodes, rule), "line-links")
+    ends, counts = links, links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if groups is not None:
+        own = store.written(_compared(groups, nodes, rule, False), "line-counts")
+        ends = ends.unionByName(own.select(F.col("node").alias("a"), F.col("head").alias("b")))
+        counts = counts.unionByName(own.select("node", "n"))
+    return components(ends).join(counts.groupBy("node").agg(F.sum("n").alias("n_links")), "node")
 
 
 def line_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -485,9 +636,7 @@ def line_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     texts = own.select(line_key().alias("key"), "line").distinct()
     # written at once: the numbers of a table's rows are unique, whatever is run again
     texts = store.written(texts.select(F.monotonically_increasing_id().alias("node"), "key", "line"), "line-texts")
-    links = links_of(texts, rule or RULE)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = components(links).join(degree, "node").join(texts.select("node", "key"), "node")
+    linked = linked_nodes(texts, rule or RULE).join(texts.select("node", "key"), "node")
     heads = linked.groupBy("component").agg(F.min("key").alias("class"))
     linked = store.written(linked.join(heads, "component").select("key", "class", "n_links"), "line-linked")
     rows = own.select("doc", "doc_id", "line_no", line_key().alias("key")).join(linked, "key", "left")
