@@ -48,7 +48,7 @@ def test_counts_of_a_group(spark, monkeypatch, chars):
     assert all((got[n][0] == got[m][0]) == (of[n] == of[m]) for n in got for m in got)
 
 
-@pytest.mark.parametrize("chars", [530])
+@pytest.mark.parametrize("chars", [118, 530])
 def test_rows_of_near_copies(spark, monkeypatch, chars):
     """What is written for a group of near copies grows with its lines, not with its links."""
     rng = random.Random(chars)

@@ -48,7 +48,7 @@ from .shingles import _powers, by_bytes, mix
 
 INDEX, PROBE, LEAF, SPREAD = 1, 2, 4, 8  # bits of a role
 WORD = r"[^\x20\x09-\x0D]"
-DEEPEST = 2  # edits up to which a hot key is partitioned further
+DEEPEST = 1  # edits up to which a hot key is partitioned further
 TALLY, GRAMS = 64, 256  # kinds of characters, and of three in a row, that are counted before lines are compared
 CUTS = (480, 768, 1152, 2304)  # lengths at which a pass over the lines ends, so that the keys of a part of them are shuffled at once
 BLOCK = 512  # lines of a group that are compared with as many at once
