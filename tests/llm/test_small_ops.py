@@ -142,6 +142,10 @@ def test_differencing_is_tight_over_a_tree(spark):
     placed = op3_shards.balanced(groups, 8, per_bucket=200, fan_in=6).join(groups, "text_key").groupBy("shard").sum("weight").collect()
     sums = [r[1] for r in placed]
     assert len(sums) == 8 and sum(sums) == sum(weights) and max(sums) - min(sums) <= sum(sums) / 8 / 5000
+    heavy = spark.createDataFrame([(i.to_bytes(8, "big"), w) for i, w in enumerate([500_000, 90_000, *weights])], "text_key binary, weight long")
+    placed = op3_shards.balanced(heavy, 8, per_bucket=200, fan_in=6).join(heavy, "text_key").groupBy("shard").sum("weight").collect()
+    sums = [r[1] for r in placed]  # two groups that outweigh an eighth of their buckets
+    assert len(sums) == 8 and sum(sums) == sum(weights) + 590_000 and max(sums) - min(sums) <= sum(sums) / 8 / 5000
     parts = op3_shards.differencing([([8], 0), ([7], 1), ([6], 2), ([5], 3), ([4], 4)], 2)
     assert sorted(s for s, _ in parts) == [14, 16]
 

@@ -1,9 +1,9 @@
 """Sharding by Karmarkar-Karp differencing over indivisible groups of equal texts.
 
 Partial partitions with the largest spread are combined again and again, oppositely ordered. The differencing is a tree:
-a task combines the groups of one bucket to one partial partition of k sums; the buckets' partial partitions are then
-combined in the same way, `fan_in` at a time, until one is left. No task sees more than per_bucket groups or fan_in
-partial partitions.
+a task combines the groups of one bucket to 2k parts; the buckets' parts are items that are combined in the same way,
+those of `fan_in` buckets at a time, until one task can deal them to k shards. But for that last task, which also has the
+groups of one bucket a level, no task sees more than about per_bucket groups or the parts of fan_in buckets.
 
 Defined cases: a null text counts as no bytes and shares the group of the empty text; a text of any length is one
 indivisible group, whatever the others weigh; of equal weights the smaller digest is placed first; a null doc_id is a row
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,56 +47,59 @@ def differencing(items: list[tuple[list[int], int]], k: int) -> list[tuple[int,
     return heap[0][2] if heap else [(0, []) for _ in range(k)]
 
 
-def _combine_groups(k: int):
+def _parts(rows: pd.DataFrame, k: int) -> list[int]:
+    """Sorts rows in place; the part of each."""
+    rows.sort_values(["weight", "text_key"], ascending=[False, True], kind="stable", inplace=True, ignore_index=True)
+    part_of = [0] * len(rows)
+    for part, (_, members) in enumerate(differencing([([w], i) for i, w in enumerate(rows.weight.tolist())], k)):
+        for item, _ in members:
+            part_of[item] = part
+    return part_of
+
+
+def _combine(k: int):
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["weight", "text_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        parts = differencing([([w], i) for i, w in enumerate(rows.weight.tolist())], k)
-        part_of = [0] * len(rows)
-        for part, (_, members) in enumerate(parts):
-            for item, _ in members:
-                part_of[item] = part
-        return pd.DataFrame({"text_key": rows.text_key, "weight": rows.weight, "node": rows.node, "part": pd.Series(part_of, dtype="int32")})
+        rows = rows[["text_key", "weight"]].copy()
+        part, least = _parts(rows, k), {}
+        for p, key in zip(part, rows.text_key, strict=True):
+            least[p] = min(key, least.get(p, key))
+        return rows.assign(up_key=[least[p] for p in part])
 
     return combine
 
 
-def _combine_nodes(k: int):
-    def combine(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = rows.sort_values(["node", "part"]).groupby("node", sort=True)
-        nodes, items = [], []
-        for i, (node, own) in enumerate(sums):
-            by_part = dict(zip(own.part, own["sum"], strict=True))
-            nodes.append(node)
-            items.append(([int(by_part.get(p, 0)) for p in range(k)], i))
-        out = [(nodes[i], p, part) for part, (_, members) in enumerate(differencing(items, k)) for i, p in members]
-        return pd.DataFrame(out, columns=["node", "part", "up_part"]).astype({"node": "int64", "part": "int32", "up_part": "int32"})
+def _place(k: int):
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["text_key", "weight"]].copy()
+        part = _parts(rows, k)
+        return pd.DataFrame({"text_key": rows.text_key, "shard": pd.Series(part, dtype="int32")})
 
-    return combine
+    return place
 
 
 def balanced(groups: DataFrame, shards: int, per_bucket: int = 1_000, fan_in: int = 1_000) -> DataFrame:
-    """groups(text_key, weight) -> (text_key, shard): sums of weight near equal over shards. `groups` is read twice."""
-    n = groups.count()
-    nodes = max(1, math.ceil(n / per_bucket))
-    cut = groups.withColumn("node", F.pmod(F.xxhash64("text_key"), F.lit(nodes)))
-    placed = cut.groupBy("node").applyInPandas(_combine_groups(shards), "text_key binary, weight long, node long, part int")
-    placed = store.written(placed, "kk-groups").select("text_key", "weight", "node", "part")
-    level = placed.groupBy("node", "part").agg(F.sum("weight").alias("sum"))
-    up = None  # (bottom, bottom_part) -> the part at the level reached
-    while True:
-        ups = math.ceil(nodes / fan_in)
-        step = level.withColumn("up", F.floor(F.col("node") / fan_in)).groupBy("up").applyInPandas(_combine_nodes(shards), "node long, part int, up_part int")
-        step = store.written(step, "kk-nodes")
-        if up is None:
-            up = step.select(F.col("node").alias("bottom"), F.col("part").alias("bottom_part"), F.floor(F.col("node") / fan_in).alias("node"), F.col("up_part").alias("part"))
-        else:
-            up = up.join(step, ["node", "part"]).select("bottom", "bottom_part", F.floor(F.col("node") / fan_in).alias("node"), F.col("up_part").alias("part"))
-        if ups <= 1:
-            break
-        sums = level.join(step, ["node", "part"]).groupBy(F.floor(F.col("node") / fan_in).alias("node"), F.col("up_part").alias("part")).agg(F.sum("sum").alias("sum"))
-        level, nodes = store.written(sums, "kk-sums"), ups
-    final = up.select(F.col("bottom").alias("node"), F.col("bottom_part").alias("part"), F.col("part").alias("shard"))
-    return placed.join(final, ["node", "part"]).select("text_key", "shard")
+    """groups(text_key, weight) -> (text_key, shard): sums of weight near equal over shards. `groups` is read twice.
+
+    A bucket's parts go up as items of their own, each under its smallest key: a group that outweighs its bucket stays alone
+    in a part, and what the other buckets hold makes up for it. One bucket a level goes up uncombined, so that the last
+    step has fine items to level what coarse ones leave.
+    """
+    parts = 2 * shards
+    items = groups.select("text_key", "weight", F.lit(False).alias("kept"))
+    size, levels = max(per_bucket, 4 * parts), []
+    while (nodes := math.ceil(items.where("NOT kept").count() / size)) > 1:
+        node = F.when(F.col("kept"), 0).otherwise(F.pmod(F.xxhash64("text_key", F.lit(len(levels))), F.lit(nodes)))
+        dealt = items.withColumn("node", node)
+        met = dealt.where("node != 0").groupBy("node").applyInPandas(_combine(parts), "text_key binary, weight long, up_key binary")
+        fine = dealt.where("node = 0").select("text_key", "weight", F.col("text_key").alias("up_key"), F.lit(True).alias("kept"))
+        step = store.written(met.withColumn("kept", F.lit(False)).unionByName(fine), "kk-parts")
+        items = store.written(step.groupBy(F.col("up_key").alias("text_key"), "kept").agg(F.sum("weight").alias("weight")), "kk-sums")
+        levels.append(step.select("text_key", "up_key"))
+        size = max(2, fan_in) * parts
+    placed = items.withColumn("node", F.lit(0)).groupBy("node").applyInPandas(_place(shards), "text_key binary, shard int")
+    for level in reversed(levels):
+        placed = level.join(store.written(placed, "kk-placed").withColumnRenamed("text_key", "up_key"), "up_key").select("text_key", "shard")
+    return placed
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .op2_bpe import op2_bpe
-from .op3_shards import op3_shards
+from .op3_shards import shard_documents
 from .op5_audio import op5_audio
 from .op6_urls import RULES, op6_urls
 from .op8_secrets import op8_secrets
@@ -79,9 +80,9 @@ def decoded_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shards_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laws of the shards: slots without gaps, bytes near equal, equal texts (by size and checksum) together."""
-    found = op3_shards(spark, sf_dir)
-    apart = found.groupBy("size", "text_crc32").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).agg(F.count_if(F.col("low") != F.col("high")).alias("apart"))
+    """Laws of the shards: slots without gaps, bytes near equal, equal texts together."""
+    found = shard_documents(store.documents(spark, sf_dir), 8)
+    apart = found.groupBy("text_key").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).agg(F.count_if(F.col("low") != F.col("high")).alias("apart"))
     each = found.groupBy("shard").agg(F.sum("size").alias("bytes"), (F.max("slot") + 1 == F.count_distinct("slot")).alias("gapless"), F.max("size").alias("largest"))
     whole = each.agg(F.sum("bytes").alias("total"), F.max("largest").alias("most"))
     near = F.abs(F.col("bytes") * 8 - F.col("total")) <= 8 * F.col("most")
