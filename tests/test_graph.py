@@ -1,7 +1,11 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, hybrid, incremental, resolve, text, vector
+from weftgraph.operators import evaluate, graph, hybrid, incremental, resolve, text, vector
 from weftgraph.schema import EDGES, SYMBOLS
 
 
@@ -88,6 +92,40 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in e[0].e) - 1) < 1e-5 and len(e[2].e) == vector.DIM
 
 
+def test_nearest_in_bounded_memory(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(6000, 8)).astype(np.float32), rng.normal(size=(1500, 8)).astype(np.float32)
+    v[17] = v[16] = q[5]
+    df = spark.createDataFrame([], "symbol_id long, embedding array<float>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = vector._block_knn(df, q.tolist(), 3, "symbol_id")
+    lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, 8, dtype=np.int32), pa.array(v.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), lists], ["symbol_id", "embedding"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([batch.slice(0, 5000), batch.slice(5000)]))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all pairs of the first batch are 60 MB
+    for n in (0, 5, 700, 1499):
+        distance = np.sqrt(np.square(q[n].astype(float) - v).sum(axis=1))
+        assert got[got["__query"] == n].sort_values(["distance", "symbol_id"]).symbol_id.tolist() == np.lexsort((np.arange(6000), distance))[:3].tolist()
+
+
+def test_a_vector_of_no_number_hides_no_other(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [float("nan"), 1.0]), ("c", [0.9, 0.1])], "symbol_id string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<float>")
+    assert [r.symbol_id for r in vector.knn(v, q, 2).orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_relevance_of_shared_wants(spark):
+    results = spark.createDataFrame([(1, "a", 1), (1, "x", 2), (2, "b", 1), (2, "a", 3), (3, "x", 1)], "query_id int, item string, rank int")
+    asked = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "query_id int, want int")
+    expected = spark.createDataFrame([(7, "a", 1), (7, "b", 2), (7, "c", 3), (8, "a", 1)], "want int, item string, ideal_rank int")
+    each = expected.join(asked, "want").select("query_id", "item", "ideal_rank")
+    got = sorted(map(tuple, evaluate.relevance(results, expected, 2, asked).collect()))
+    assert got == sorted(map(tuple, evaluate.relevance(results, each, 2).collect())) and [r[0] for r in got] == [1, 2, 3]
+
+
 def test_incremental(spark):
     cur = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
     old = spark.createDataFrame([("a", "1"), ("b", "0"), ("c", "3")], "path string, hash string")

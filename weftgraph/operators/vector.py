@@ -15,15 +15,15 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
-DIM, BATCH, MAX_QUERIES, BLOCK = 384, 512, 4096, 1024
+DIM, BATCH, MAX_QUERIES, BLOCK, TILE, MEASURED = 384, 512, 4096, 1024, 512, 4096
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "symbol_id") -> DataFrame:
     """vectors(key, embedding), queries(query_id, query) -> (query_id, key, distance, rank), by L2 distance, exactly.
 
-    Queries meet every vector in blocks of about MAX_QUERIES, which bounds what is sent to tasks. A matrix product a batch
-    of vectors tells which may be among a query's k best; these are measured exactly, and each task gives its own k best
-    of a query. Vectors and queries that are null, or of different lengths, have no distance.
+    Queries meet every vector in blocks of about MAX_QUERIES, which bounds what is sent to tasks. A matrix product of TILE
+    queries and BLOCK vectors tells which may be among a query's k best; these are measured exactly, and each task gives
+    its own k best of a query. Vectors and queries that are null, or of different lengths, have no distance.
     """
     asked = queries.where(F.col("query").isNotNull())
     blocks = max(1, math.ceil(asked.count() / MAX_QUERIES))
@@ -47,32 +47,65 @@ def _block_knn(vectors: DataFrame, asked: list[list[float]], k: int, key: str) -
     matrices = {d: np.array([asked[n] for n in numbers], np.float64) for d, numbers in groups.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, pd.DataFrame] = {}
+        tiles = [(d, at, _Best(matrices[d][at : at + TILE], k)) for d in matrices if d for at in range(0, len(matrices[d]), TILE)]
         for batch in batches:
-            lists = batch.column("embedding")
+            lists, keys = batch.column("embedding"), batch.column(key)
             length = lists.value_lengths().to_numpy(zero_copy_only=False)
-            for d, q in matrices.items():
-                at = np.flatnonzero(length == d)
-                if not len(at) or not d:
-                    continue
-                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                rough = np.square(q).sum(axis=1)[:, None] + np.square(v).sum(axis=1) - 2 * (q @ v.T)
-                room = 1e-6 * (1 + np.square(q).sum(axis=1).max() + np.square(v).sum(axis=1).max())
-                kth = np.partition(rough, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1] if len(at) >= k else np.full(len(q), np.inf)
-                row, col = np.nonzero(rough <= (kth + room)[:, None])
-                exact = np.sqrt(np.square(q[row] - v[col]).sum(axis=1))
-                keys = batch.column(key).take(pa.array(at[col])).to_pandas()
-                new = pd.DataFrame({"row": row, "distance": exact, "key": keys.to_numpy()})
-                both = new if d not in held else pd.concat([held[d], new])
-                held[d] = both.sort_values(["row", "distance", "key"], kind="stable").groupby("row", sort=False).head(k)
-        for d, best in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(groups[d][best["row"]], pa.int32()), pa.array(best["key"].tolist(), kind), pa.array(best["distance"].to_numpy())], ["__query", key, "distance"])
+            for d in matrices:
+                own = np.flatnonzero(length == d) if d else ()
+                for at in range(0, len(own), BLOCK):
+                    part = pa.array(own[at : at + BLOCK])
+                    v = lists.take(part).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    names = keys.take(part).to_pandas().to_numpy()
+                    for of, _, best in tiles:
+                        if of == d:
+                            best.meet(names, v)
+        for d, at, best in tiles:
+            if len(best.row):
+                yield pa.RecordBatch.from_arrays([pa.array(groups[d][at + best.row], pa.int32()), pa.array(best.keys.tolist(), kind), pa.array(best.distance)], ["__query", key, "distance"])
 
     kind = pa.string() if isinstance(vectors.schema[key].dataType, T.StringType) else pa.int32() if isinstance(vectors.schema[key].dataType, T.IntegerType) else pa.int64()
     schema = T.StructType([T.StructField("__query", T.IntegerType()), vectors.schema[key], T.StructField("distance", T.DoubleType())])
     return vectors.where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).mapInArrow(run, schema)
 
 
+class _Best:
+    """The k best vectors of each query of a tile, as it meets one block of vectors after another."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.squares = np.square(queries).sum(axis=1)
+        self.row, self.distance, self.keys = np.zeros(0, np.int64), np.zeros(0), None
+        self.bound = np.full(len(queries), np.inf)  # the k-th best distance, squared
+
+    def meet(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        """A matrix product tells which pairs may matter, with room for its error and for ties; these are measured exactly."""
+        squares = np.square(vectors).sum(axis=1)
+        rough = self.queries @ vectors.T
+        rough *= -2
+        rough += self.squares[:, None]
+        rough += squares
+        rough[~np.isfinite(rough)] = np.inf
+        bound = self.bound.copy()
+        fresh = np.flatnonzero(np.isinf(bound))
+        if len(fresh) and len(keys) >= self.k:
+            bound[fresh] = np.partition(rough[fresh], self.k - 1, axis=1)[:, self.k - 1]
+        room = 1e-6 * (1 + sum(x[np.isfinite(x)].max(initial=0) for x in (self.squares, squares)))
+        row, col = np.nonzero(rough <= (bound + room)[:, None])
+        if not len(row):
+            return
+        exact = np.concatenate([np.sqrt(np.square(self.queries[row[i : i + MEASURED]] - vectors[col[i : i + MEASURED]]).sum(axis=1)) for i in range(0, len(row), MEASURED)])
+        row, distance = np.concatenate([self.row, row]), np.concatenate([self.distance, exact])
+        keys = keys[col] if self.keys is None else np.concatenate([self.keys, keys[col]])
+        order = np.lexsort((keys, distance, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = order[place < self.k], row[place < self.k], place[place < self.k]
+        self.row, self.distance, self.keys = row, distance[order], keys[order]
+        last = place == self.k - 1
+        self.bound[row[last]] = np.nan_to_num(np.square(self.distance[last]), nan=np.inf)
+
+
 class _Nearest:
     """The k nearest other vectors of a block, as it meets one block after another."""
 
