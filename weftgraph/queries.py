@@ -423,9 +423,9 @@ def eval_pk_rk_ndcg(spark, d):
     v = _table(spark, d, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("want"))
     found = vector.knn(v.select("vec_id", "embedding"), asked.select("query_id", "query"), 10, "vec_id").select("query_id", F.col("vec_id").alias("item"), "rank")
-    same = v.select(F.col("vec_id").alias("item"), F.col("label").alias("want")).join(asked.select("query_id", "want"), "want")
-    expected = same.withColumn("ideal_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("item"))).select("query_id", "item", "ideal_rank")
-    out = evaluate.relevance(found, expected, 10)
+    members = v.where("label IS NOT NULL").select(F.col("label").alias("want"), F.col("vec_id").alias("item"))
+    expected = members.withColumn("ideal_rank", F.row_number().over(Window.partitionBy("want").orderBy("item")))
+    out = evaluate.relevance(found, expected, 10, asked.select("query_id", "want"))
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")))
 
 
