@@ -4,6 +4,7 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph import render
 from weftgraph.api import CodeGraph
@@ -132,3 +133,17 @@ def test_render_and_counts(spark, tmp_path):
     assert found[0].symbol["name"] == "two" and found[0].fts_count >= 1 and found[0].vector_count == 2 and found[0].merged_count == 2
     assert render.lines("rag_search", g.rag_search("second things")).first().text.startswith("1. function  two  a.py:6  score=")
     assert hybrid.COLUMNS[0] == "symbol_name"
+
+
+def test_index_in_segments_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "SEGMENT_BYTES", 200, raising=False)
+    docs = spark.createDataFrame([(i, f"the {i} of the {i % 3}", "of" if i % 2 else None) for i in range(40)] + [(99, "", None)], "id long, title string, body string")
+    index = text.Index.build(docs, ["title", "body"], str(tmp_path / "fts"), "id")
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    own = index.postings.select("id", part.alias("part")).distinct().collect()
+    assert len(own) == 40 and len({r.part for r in own}) > 3  # a document's postings lie in one of several segments
+    assert {r.id: r.len for r in index.lengths.collect()} == {99: 0} | {i: 5 + i % 2 for i in range(40)}
+    assert index.postings.where("term IS NULL").count() == 0 and index.postings.count() == 220
+    queries = spark.createDataFrame([("a", "the"), ("b", "of the"), ("c", "of the the")], "query_id string, text string")
+    hits = {(r.query_id, r.tier, r.phrase, r.f) for r in text.phrase_hits(index.postings, text.phrases(queries), "id").where("id = 7").collect()}
+    assert hits == {("a", 0, 0, 2), ("a", 2, 0, 2), ("b", 0, 0, 1), ("b", 1, 0, 2), ("b", 1, 1, 2), ("b", 2, 0, 2), ("b", 2, 1, 2), ("c", 1, 0, 2), ("c", 1, 1, 2), ("c", 1, 2, 2), ("c", 2, 0, 2), ("c", 2, 1, 2), ("c", 2, 2, 2)}

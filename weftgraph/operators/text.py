@@ -3,6 +3,7 @@ any term."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-BUCKETS, MAX_TERMS = 32, 2_000
+BUCKETS, MAX_TERMS, SEGMENT_BYTES = 32, 2_000, 32_000_000
 PHRASE, AND, OR = 0, 1, 2
 
 
@@ -55,25 +56,32 @@ class Index:
 
     @staticmethod
     def build(docs: DataFrame, columns: list[str], path: str, key: str = "symbol_id") -> Index:
-        """Writes the index to path. Texts are tokenised once. Postings lie in folders by a hash of the term and are in order
-        of terms within files, so a search reads the files that may hold its terms; a term of a third of all documents
-        is split over files by document."""
-        tokens = docs.select(key, F.array(*(S.tokens(F.col(c)) for c in columns)).alias("cols"))
-        tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-        tokens = docs.sparkSession.read.parquet(f"{path}/tokens")
-        each = tokens.select(key, F.posexplode("cols").alias("col", "own")).select(key, "col", F.posexplode("own").alias("pos", "term"))
-        dealt = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        dealt = dealt.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-        dealt.select("bucket", "term", key, "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        """Writes the index to path. Texts are tokenised once. They are dealt by document to segments of about
+        SEGMENT_BYTES of text, so what a task sorts is bounded and only texts are shuffled. Postings of a segment lie in
+        folders by a hash of the term and are in order of terms within files, so a search reads the files that may hold its
+        terms; a document's length is its row in folder -1."""
+        n_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in columns[1:]), F.coalesce(F.octet_length(columns[0]), F.lit(0)).cast("long"))
+        segments = max(1, math.ceil((docs.agg(F.sum(n_bytes)).first()[0] or 0) / SEGMENT_BYTES))
+        tokens = docs.select(key, *columns).repartition(segments, key).select(key, F.array(*(S.tokens(F.col(c)) for c in columns)).alias("cols"))
         size = sum((F.size(F.get("cols", F.lit(i))) for i in range(1, len(columns))), F.size(F.get("cols", F.lit(0))))
-        tokens.select(key, size.cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        each = tokens.select(key, size.alias("len"), F.posexplode("cols").alias("col", "own"))
+        none = F.array(F.lit(None).cast("string"))
+        each = each.select(key, "len", "col", F.posexplode(F.when(F.col("col") == 0, F.concat("own", none)).otherwise(F.col("own"))).alias("pos", "term"))
+        place = F.when(F.col("term").isNull(), F.col("len")).otherwise(F.col("pos"))
+        bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        dealt = each.select(bucket.alias("bucket"), "term", key, "col", place.alias("pos")).sortWithinPartitions("bucket", "term", key)
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        written = docs.sparkSession.read.parquet(f"{path}/postings")
+        written.where("bucket = -1").select(key, F.col("pos").cast("long").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
         lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
         lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
         return Index.open(docs.sparkSession, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "corpus")))
+        index = Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "corpus")))
+        index.postings = index.postings.where("bucket >= 0")
+        return index
 
     def of_terms(self, asked: DataFrame) -> DataFrame:
         """Postings of asked(term). Up to MAX_TERMS terms are put into the plan, where they prune folders and row groups."""
@@ -89,11 +97,15 @@ class Index:
 def phrase_hits(index: DataFrame, asked: DataFrame, key: str = "symbol_id") -> DataFrame:
     """(query_id, tier, phrase, phrases, key, f): how often a document has each phrase, within one column.
 
-    Only postings of asked terms are read on; a phrase stands where all its tokens agree on a start.
+    Only postings of asked terms are read on. Those of a document are counted first for phrases of one token, whatever the
+    number of phrases; a longer phrase stands where all its tokens agree on a start.
     """
-    met = index.join(asked, "term").withColumn("start", F.col("pos") - F.col("off"))
-    whole = met.groupBy("query_id", "tier", "phrase", "terms", "phrases", key, "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = terms")
-    return whole.groupBy("query_id", "tier", "phrase", "phrases", key).agg(F.count(F.lit(1)).alias("f"))
+    of = ["query_id", "tier", "phrase", "phrases", key]
+    single, longer = asked.where("terms = 1"), asked.where("terms > 1")
+    counted = index.join(single.select("term").distinct(), "term", "left_semi").groupBy("term", key).agg(F.count(F.lit(1)).alias("f"))
+    met = index.join(longer, "term").withColumn("start", F.col("pos") - F.col("off"))
+    whole = met.groupBy(*of, "terms", "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = terms")
+    return counted.join(single, "term").select(*of, "f").unionByName(whole.groupBy(*of).agg(F.count(F.lit(1)).alias("f")))
 
 
 def bm25(hits: DataFrame, docs_len: DataFrame, key: str = "symbol_id", corpus: DataFrame | None = None) -> DataFrame:
